@@ -1,5 +1,9 @@
 """The numbered queries: name to (spark, sf_dir) -> DataFrame, and SQL where SQL can express one."""
 
+from pyspark.sql import functions as F
+
+from logtide.llm import contamination as decon
+from logtide.llm import rules
 from logtide.llm.simhash import simhash_components
 
 
@@ -7,5 +11,16 @@ def op1_simhash(spark, sf_dir):
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
-QUERIES = {"op1_simhash": op1_simhash}
+def op6_decontamination(spark, sf_dir):
+    docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
+    return decon.digest(decon.contamination(docs, bench))
+
+
+def op8_quality_rules(spark, sf_dir):
+    rows = rules.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return rows.select(*cols, (~rules.passes("base")).alias("base_failed"), rules.passes("v1").alias("kept"), F.col("failed").alias("failed_bits"))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op6_decontamination": op6_decontamination, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
