@@ -1,8 +1,11 @@
 """The numbered queries: name to (spark, sf_dir) -> DataFrame, and SQL where SQL can express one."""
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
+from logtide.llm import bpe
 from logtide.llm import contamination as decon
+from logtide.llm import html
 from logtide.llm import rules
 from logtide.llm.simhash import simhash_components
 
@@ -11,6 +14,15 @@ def op1_simhash(spark, sf_dir):
     return simhash_components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op2_bpe(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return bpe.digest(bpe.token_rows(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
+def op5_html(spark, sf_dir):
+    return html.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 def op6_decontamination(spark, sf_dir):
     docs, bench = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     return decon.digest(decon.contamination(docs, bench))
@@ -22,5 +34,5 @@ def op8_quality_rules(spark, sf_dir):
     return rows.select(*cols, (~rules.passes("base")).alias("base_failed"), rules.passes("v1").alias("kept"), F.col("failed").alias("failed_bits"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op6_decontamination": op6_decontamination, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op5_html": op5_html, "op6_decontamination": op6_decontamination, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
