@@ -21,7 +21,7 @@ def test_same_rows_as_sql(spark, name):
     want = db.execute(catalog.ORACLE_SQL[name]).df()
     df = catalog.QUERIES[name](spark, D)
     assert sorted(df.columns) == sorted(want.columns)
-    text = lambda x: "" if pd.isna(x) else str(float(x)) if isinstance(x, (int, float)) else str(x)
+    text = lambda x: "" if pd.isna(x) else str(float(x)) if isinstance(x, (int, float)) or hasattr(x, "dtype") else str(x)
     rows = lambda it: sorted(tuple(map(text, r)) for r in it)
     got = df.toPandas()[list(want.columns)]
     assert rows(got.itertuples(index=False)) == rows(want.itertuples(index=False))
