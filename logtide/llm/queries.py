@@ -7,6 +7,7 @@ from logtide.llm import bpe
 from logtide.llm import contamination as decon
 from logtide.llm import html
 from logtide.llm import rules
+from logtide.llm import suffix
 from logtide.llm.simhash import simhash_components
 
 
@@ -28,11 +29,16 @@ def op6_decontamination(spark, sf_dir):
     return decon.digest(decon.contamination(docs, bench))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    rows = suffix.dedup(spark.read.parquet(f"{sf_dir}/documents.parquet"), keep_first=False)
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_quality_rules(spark, sf_dir):
     rows = rules.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rows.select(*cols, (~rules.passes("base")).alias("base_failed"), rules.passes("v1").alias("kept"), F.col("failed").alias("failed_bits"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op5_html": op5_html, "op6_decontamination": op6_decontamination, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op5_html": op5_html, "op6_decontamination": op6_decontamination, "op7_suffix_dedup": op7_suffix_dedup, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
