@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,19 +32,12 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
     @F.udf("string")
     def cut(text, marks):
-        data = text.encode()
-        gone = suffix.removed(data, marks)
-        for k in range(1, len(data)):  # a character goes if all of its bytes go
-            if data[k] & 0xC0 == 0x80 and gone[k] != gone[k - 1]:
-                i = k
-                while data[i] & 0xC0 == 0x80:
-                    gone[i] = False
-                    i -= 1
-                gone[i] = False
-                while k < len(data) and data[k] & 0xC0 == 0x80:
-                    gone[k] = False
-                    k += 1
-        return bytes(b for b, g in zip(data, gone) if not g).decode()
+        if text is None or not marks:
+            return text
+        data = np.frombuffer(text.encode(), np.uint8)
+        first = np.flatnonzero(data & 0xC0 != 0x80)  # a character goes if all of its bytes go
+        gone = np.logical_and.reduceat(suffix.removed(data, marks), first)
+        return data[~np.repeat(gone, np.diff(np.r_[first, len(data)]))].tobytes().decode()
 
     keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")))
     named = spans.select(F.col("id").alias("_id"), F.col("th").alias("_span_th"), F.col("spans").alias("_spans"))
