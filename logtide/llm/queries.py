@@ -7,7 +7,7 @@ from logtide.llm import bpe
 from logtide.llm import contamination as decon
 from logtide.llm import html
 from logtide.llm import rules
-from logtide.llm import suffix
+from logtide.llm import packed, suffix
 from logtide.llm.simhash import simhash_components
 
 
@@ -20,6 +20,11 @@ def op2_bpe(spark, sf_dir):
     return bpe.digest(bpe.token_rows(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op4_token_files(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return packed.read_tokens(packed.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op5_html(spark, sf_dir):
     return html.main_text(spark.read.parquet(f"{sf_dir}/pages.parquet"))
 
@@ -40,5 +45,5 @@ def op8_quality_rules(spark, sf_dir):
     return rows.select(*cols, (~rules.passes("base")).alias("base_failed"), rules.passes("v1").alias("kept"), F.col("failed").alias("failed_bits"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op5_html": op5_html, "op6_decontamination": op6_decontamination, "op7_suffix_dedup": op7_suffix_dedup, "op8_quality_rules": op8_quality_rules}
+QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op4_token_files": op4_token_files, "op5_html": op5_html, "op6_decontamination": op6_decontamination, "op7_suffix_dedup": op7_suffix_dedup, "op8_quality_rules": op8_quality_rules}
 ORACLE_SQL: dict[str, str] = {}
