@@ -7,7 +7,7 @@ from logtide.llm import bpe
 from logtide.llm import contamination as decon
 from logtide.llm import html
 from logtide.llm import rules
-from logtide.llm import packed, suffix
+from logtide.llm import licenses, packed, quality, suffix, toxicity
 from logtide.llm.simhash import simhash_components
 
 
@@ -20,6 +20,11 @@ def op2_bpe(spark, sf_dir):
     return bpe.digest(bpe.token_rows(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_quality(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return quality.score(docs, quality.train(docs, labels))
+
+
 def op4_token_files(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return packed.read_tokens(packed.write_tokens(docs, public_tokenizers.path("word_bpe_49k.json")))
@@ -45,5 +50,22 @@ def op8_quality_rules(spark, sf_dir):
     return rows.select(*cols, (~rules.passes("base")).alias("base_failed"), rules.passes("v1").alias("kept"), F.col("failed").alias("failed_bits"))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op4_token_files": op4_token_files, "op5_html": op5_html, "op6_decontamination": op6_decontamination, "op7_suffix_dedup": op7_suffix_dedup, "op8_quality_rules": op8_quality_rules}
+def op9_licenses(spark, sf_dir):
+    """Each document is the file source/lang/block/doc_id; ids of whole hundreds are licence files of source/lang."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    block = F.floor(F.col("doc_id") / 1000).cast("string")
+    path = F.when(F.col("doc_id") % 100 == 0, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
+    path = F.coalesce(path, F.concat_ws("/", "source", "lang", block, F.col("doc_id").cast("string")))
+    files = docs.select(path.alias("path"), "text")
+    name = F.element_at(F.split(F.col("path"), "/"), -1)
+    found = licenses.scan(files, licenses.template_table(spark), licence_file=name.cast("long") % 100 == 0)
+    return found.select(name.cast("long").alias("doc_id"), "path", "license", "cosine", "origin")
+
+
+def op10_toxicity(spark, sf_dir):
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
+    return toxicity.score(docs, toxicity.train(docs, labels))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_token_files": op4_token_files, "op5_html": op5_html, "op6_decontamination": op6_decontamination, "op7_suffix_dedup": op7_suffix_dedup, "op8_quality_rules": op8_quality_rules, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity}
 ORACLE_SQL: dict[str, str] = {}
