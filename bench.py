@@ -6,12 +6,12 @@ import time
 
 from pyspark.sql import SparkSession
 
-from logtide.plans.catalog import QUERIES
+from logtide.plans import catalog, sql
 
 d, n = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1"), os.environ.get("BENCH_CPUS", "8")
 spark = SparkSession.builder.master(f"local[{n}]").config("spark.sql.shuffle.partitions", n).config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
 took = {}
-for name, f in QUERIES.items():
+for name, f in (catalog.QUERIES | sql.QUERIES).items():
     f(spark, d).write.format("noop").mode("overwrite").save()
     began = time.time()
     f(spark, d).write.format("noop").mode("overwrite").save()
