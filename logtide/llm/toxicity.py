@@ -7,7 +7,6 @@ score is that of its worst window. Every window of every text is scored.
 
 from __future__ import annotations
 
-import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -66,13 +65,15 @@ class Network:
 
     def parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Word numbers, and trigram numbers of all words in one row with the counts by word."""
-        bare = [_EDGE.sub("", w) for w in words]
+        bare = [w if w.isalnum() else _EDGE.sub("", w) for w in words]
         number = np.fromiter((self.vocabulary.get(w, 0) for w in bare), np.int64, len(bare))
-        grams = []
-        for w in bare:
-            data = b"<" + w.encode("utf-8", "replace") + b">"
-            grams.append([zlib.crc32(data[k : k + 3]) % TRIGRAMS for k in range(max(1, len(data) - 2))])
-        return number, np.fromiter((x for y in grams for x in y), np.int64), np.fromiter(map(len, grams), np.int64, len(grams))
+        marked = [b"<" + (w or " ").encode("utf-8", "replace") + b">" for w in bare]
+        size = np.fromiter(map(len, marked), np.int64, len(marked))
+        data = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint64)
+        mixed = (((data[:-2] << np.uint64(16)) + (data[1:-1] << np.uint64(8)) + data[2:]) * np.uint64(2654435761) >> np.uint64(8)) % np.uint64(TRIGRAMS)
+        inside = np.ones(len(data), bool)
+        inside[np.cumsum(size) - 1] = inside[np.cumsum(size) - 2] = False
+        return number, mixed[inside[:-2]].astype(np.int64), size - 2
 
     def inputs(self, number: np.ndarray, grams: np.ndarray, count: np.ndarray) -> np.ndarray:
         start = np.cumsum(count) - count
@@ -159,7 +160,7 @@ class Network:
         return np.concatenate([self.run(gates, ids[k : k + TOGETHER])[0] for k in range(0, len(ids), TOGETHER)])
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 7, all_windows: int = 1, worst_window: int = 5, rate: float = 0.01, decay: float = 2e-5) -> Network:
+def fit(rows: list[tuple[str, int]], seed: int = 7, all_windows: int = 1, worst_window: int = 5, rate: float = 0.01, decay: float = 2e-5, batch: int = 128) -> Network:
     """Trains on whole texts ``(text, label)``.
 
     In the first passes each window takes its document's label. In the later ones a document is judged, as in scoring,
@@ -186,7 +187,7 @@ def fit(rows: list[tuple[str, int]], seed: int = 7, all_windows: int = 1, worst_
             order = np.lexsort((z, doc))
             chosen = order[np.flatnonzero(np.diff(doc[order], append=-1))]
         rng.shuffle(chosen)
-        size = 256 if turn < all_windows else 64
+        size = batch if turn < all_windows else batch // 4
         for k in range(0, len(chosen), size):
             part = ids[chosen[k : k + size]]
             used, small = np.unique(part, return_inverse=True)
