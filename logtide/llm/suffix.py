@@ -1,9 +1,10 @@
 """Repeated byte strings over all documents by suffix order and longest-previous-factor arrays.
 
 Every start of a ``length``-byte string belongs to the least hash of the 32-byte grams inside it, so equal strings meet
-under one hash. Runs of starts with one hash are slices. Only slices of hashes that occur twice go on, equal slices as
-one, and a suffix order over a batch of them gives, through previous and next smaller positions, the longest match
-that starts earlier; the mirrored pass gives the longest that starts later.
+under one hash. Runs of starts with one such gram are slices. Only slices of hashes that occur twice go on, equal slices
+as one, cut into pieces by the place of the gram. Pieces with the bytes around it in common meet, and a suffix order
+over a batch of them gives, through previous and next smaller positions, the longest match that starts earlier; the
+mirrored pass gives the longest that starts later.
 """
 
 from __future__ import annotations
@@ -20,18 +21,20 @@ from logtide.llm.storage import written
 
 GRAM = 32
 LENGTH = 200
-#: Starts in one slice at most, and bytes of slices in one suffix order, about.
-RUN, BATCH = 256, 1 << 21
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes of pieces in one suffix order, about.
+BATCH = 1 << 21
+_ODD, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 31) - 1)
 
 
 def slices(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, first start, number of starts, whether the least gram recurs inside) of the runs of one text.
+    """(hash, first start, number of starts, place of the gram in the first string) of the runs of one text.
 
-    Empty if the text is shorter than ``length``. Only a slice where the gram recurs can hold one string twice.
+    A run holds the starts whose strings have their least gram, the leftmost of equal ones, at the same place; so one
+    string is never twice in one slice, and equal strings have their gram at the same offset. Empty if the text is
+    shorter than ``length``.
     """
     if len(data) < length:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     with np.errstate(over="ignore"):
         h, k = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), 1
         mult = _ODD
@@ -40,19 +43,28 @@ def slices(data: bytes, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, n
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
         h ^= h >> np.uint64(32)
-    width, k, low = length - GRAM + 1, 1, h
+    width, k = length - GRAM + 1, 1
+    low = (h & ~_PLACE) | np.arange(len(h), dtype=np.uint64)
     while 2 * k <= width:
         low, k = np.minimum(low[:-k], low[k:]), 2 * k
     low = np.minimum(low[: len(h) - width + 1], low[width - k :][: len(h) - width + 1])
     start = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
-    size = np.diff(np.r_[start, len(low)])
-    if size.max() > RUN:
-        parts = -(-size // RUN)
-        first = np.repeat(start, parts) + RUN * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-        start, size = first, np.diff(np.r_[first, len(low)])
-    least = low[start]
-    ends = zip(start.tolist(), (start + size + width - 1).tolist(), least)
-    return least, start, size, np.fromiter((np.count_nonzero(h[i:j] == m) > 1 for i, j, m in ends), bool, len(start))
+    at = (low[start] & _PLACE).astype(np.int64)
+    return h[at], start, np.diff(np.r_[start, len(low)]), at - start
+
+
+def pieces(part: bytes, n: int, o: int, length: int = LENGTH) -> list[tuple[int, int, int]]:
+    """(core hash, first start, number of starts) of the pieces of a slice.
+
+    A piece holds the starts whose gram offset is in one of three bands. The bytes that all strings of a band have in
+    common around the gram are its core, so equal strings meet under one core, and the gram alone brings none together.
+    """
+    band, out = (length - GRAM) // 3 + 1, []
+    for b in range((o - n + 1) // band, o // band + 1):
+        most, least = min(o, band * b + band - 1), max(o - n + 1, band * b)
+        end = o + length - min(band * b + band - 1, length - GRAM)
+        out.append((xxhash.xxh3_64_intdigest(part[o - band * b : end], b) - (1 << 63), o - most, most - least + 1))
+    return out
 
 
 def longest_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
@@ -62,20 +74,26 @@ def longest_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[
     by pointer jumping, hold the longest earlier match, and the larger ones the longest later match.
     """
     n = len(data)
-    rank, depth = data.astype(np.int64) + 1, 1
+    depth = min(4, length)
     at = np.arange(n)
-
-    def pair(r: np.ndarray, gap: int) -> np.ndarray:
-        second = np.zeros(n, np.int64)
-        second[: max(0, n - gap)] = r[gap:]
-        return np.unique(r * (n + 300) + second, return_inverse=True)[1].astype(np.int64) + 1
-
-    while 2 * depth <= length:
-        rank, depth = pair(rank, depth), 2 * depth
-    if depth < length:
-        rank = pair(rank, length - depth)
-    order = starts[np.lexsort((starts, rank[starts]))]
-    kind = rank[order]
+    rank = np.zeros(n, np.int64)
+    for k in range(depth):
+        rank = rank * 257
+        rank[: n - k] += data[k:].astype(np.int64) + 1
+
+    def ranked(x: np.ndarray) -> np.ndarray:
+        return np.unique(x, return_inverse=True)[1].astype(np.int64) + 1
+
+    def pair(r: np.ndarray, gap: int, of: np.ndarray) -> np.ndarray:
+        second = np.r_[r, np.zeros(gap, np.int64)][of + gap]
+        return ranked(r[of] * (n + 1) + second)
+
+    rank = ranked(rank)
+    while 2 * depth < length:
+        rank, depth = pair(rank, depth, at), 2 * depth
+    final = pair(rank, length - depth, starts) if depth < length else rank[starts]
+    by = np.lexsort((starts, final))
+    order, kind = starts[by], final[by]
     place = np.empty(n, np.int64)
     place[order] = at[: len(order)]
 
@@ -104,13 +122,13 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
         for batch in batches:
             for row in range(len(batch)):
                 data = batch.column(1)[row].as_py()
-                mins, lo, size, twin = slices(data, length)
+                mins, lo, size, o = slices(data, length)
                 own = np.fromiter((xxhash.xxh3_64_intdigest(data[i : i + k + length - 1]) for i, k in zip(lo.tolist(), size.tolist())), np.uint64, len(lo))
                 ids = batch.column(0).take(pa.array(np.full(len(lo), row)))
                 th = pa.array(np.full(len(lo), batch.column(2)[row].as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([ids, th, pa.array(mins.view(np.int64)), pa.array(own.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(twin)], ["id", "th", "m", "s", "lo", "n", "twin"])
+                yield pa.RecordBatch.from_arrays([ids, th, pa.array(mins.view(np.int64)), pa.array(own.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(o.astype(np.int32))], ["id", "th", "m", "s", "lo", "n", "o"])
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, m long, s long, lo int, n int, twin boolean")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, m long, s long, lo int, n int, o int")
 
 
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_first: bool = True) -> DataFrame:
@@ -121,43 +139,64 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     base = base.withColumn("th", F.xxhash64("text")).where(F.octet_length("text") >= length)
-    anchors = _anchors(base, length)
-    twice = anchors.groupBy("m").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1"), F.max("twin").alias("twin")).where("c > 1 OR twin")
-    met = written(anchors.drop("twin").join(twice.select("m", ((F.col("s0") != F.col("s1")) | F.col("twin")).alias("mixed")), "m"), "repeats")
-    kinds = written(met.groupBy("m", "s").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "lo", "n")).alias("one"), F.first("mixed").alias("mixed")), "slices")
-    wanted = kinds.where("mixed").select(F.col("one.id").alias("id"), F.col("one.th").alias("th"), F.struct("m", "s", F.col("one.lo").alias("lo"), F.col("one.n").alias("n")).alias("w")).groupBy("id", "th").agg(F.collect_list("w").alias("w"))
+    anchors = written(_anchors(base, length), "anchors")
+    twice = anchors.groupBy("m").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1")
+    met = written(anchors.join(twice.select("m", (F.col("s0") != F.col("s1")).alias("mixed")), "m"), "repeats")
+    kinds = written(met.groupBy("m", "s").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "lo", "n", "o")).alias("one"), F.first("mixed").alias("mixed")), "slices")
+    wanted = kinds.where("mixed").select("one.id", "one.th", F.struct("m", "s", "one.lo", "one.n", "one.o").alias("w")).groupBy("id", "th").agg(F.collect_list("w").alias("w"))
     texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"]) & (base["th"] == wanted["th"])).select(wanted["id"], wanted["th"], "text", F.explode("w").alias("w"))
-    cut = texts.select("id", "th", "w.m", "w.s", "w.lo", "w.n", F.expr(f"substring(text, w.lo + 1, w.n + {length - 1})").alias("part")).dropDuplicates(["m", "s"])
+    parts = texts.select("w.m", "w.s", "id", "th", "w.lo", "w.n", "w.o", F.expr(f"substring(text, w.lo + 1, w.n + {length - 1})").alias("part"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, core, first, size, part = [], [], [], [], []
+            for k, (lo, n, o, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lo", "n", "o", "part")))):
+                for c, f, many in pieces(data, n, o, length):
+                    row.append(k), core.append(c), first.append(f), size.append(many), part.append(data[f : f + many + length - 1])
+            same = batch.select(["m", "s", "id", "th", "lo"]).take(pa.array(row, pa.int64()))
+            more = [pa.array(core, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(part, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*same.columns, *more], [*same.schema.names, "core", "first", "n", "part"])
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def solve(rows: list[tuple]) -> pa.RecordBatch:
-            text = np.frombuffer(b"".join(r[3] for r in rows), np.uint8)
-            begin = np.cumsum([0] + [len(r[3]) for r in rows])
-            starts = np.concatenate([np.arange(b, b + r[2]) for b, r in zip(begin, rows)])
-            bounds = np.cumsum([0] + [r[2] for r in rows])
+            text = np.frombuffer(b"".join(r[4] for r in rows), np.uint8)
+            begin = np.cumsum([0] + [len(r[4]) for r in rows])
+            bounds = np.cumsum([0] + [r[3] for r in rows])
+            starts = np.arange(bounds[-1]) + np.repeat(begin[:-1] - bounds[:-1], np.diff(bounds))
             earlier, later = longest_factors(text, starts, length)
             hit = earlier if keep_first else earlier | later
-            out = [(r[0], r[1], np.packbits(hit[i:j]).tobytes()) for r, i, j in zip(rows, bounds, bounds[1:])]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.binary()))], ["m", "s", "bits"])
+            out = [(*r[:4], np.packbits(hit[i:j]).tobytes()) for r, i, j in zip(rows, bounds, bounds[1:]) if hit[i:j].any()]
+            return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["m", "s", "first", "n", "bits"])
 
-        rows, size, last = [], 0, None
+        rows, group, size, last = [], [], 0, None
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns)):
-                if size > BATCH and row[0] != last:
-                    yield solve(rows)
-                    rows, size = [], 0
-                rows.append(row)
-                size, last = size + len(row[3]), row[0]
+            for core, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if core != last:
+                    if len(group) > 1:  # a core that occurs once repeats nothing
+                        rows += group
+                        size += sum(len(r[4]) for r in group)
+                    group, last = [], core
+                    if size > BATCH:
+                        yield solve(rows)
+                        rows, size = [], 0
+                if not group or group[-1][:3] != row[:3]:  # a repeated input row
+                    group.append(row)
+        rows += group if len(group) > 1 else []
         if rows:
             yield solve(rows)
 
-    ordered = cut.repartition("m").sortWithinPartitions("m", F.col("id").asc_nulls_first(), "th", "lo")
-    bits = ordered.select("m", "s", "n", "part").mapInArrow(order, "m long, s long, bits binary")
+    cores = parts.mapInArrow(cut, f"m long, s long, id {dict(docs.dtypes)[id_col]}, th long, lo int, core long, first int, n int, part binary")
+    ordered = cores.repartition("core").sortWithinPartitions("core", F.col("id").asc_nulls_first(), "th", F.col("lo") + F.col("first"))
+    bits = ordered.select("core", "m", "s", "first", "n", "part").mapInArrow(order, "m long, s long, first int, n int, bits binary")
+    bits = bits.groupBy("m", "s").agg(F.collect_list(F.struct("first", "n", "bits")).alias("bits"))
     first = F.col("one.id").eqNullSafe(F.col("id")) & (F.col("one.th") == F.col("th")) & (F.col("one.lo") == F.col("lo"))
     facts = kinds.select("m", "s", "c", "one").join(bits, ["m", "s"], "left")
     whole = (~first) if keep_first else (F.col("c") > 1)
     hits = met.select("id", "th", "m", "s", "lo", "n").join(facts, ["m", "s"]).withColumn("whole", whole).where("whole OR bits IS NOT NULL")
-    marks = hits.select("id", "th", F.struct("lo", "n", F.when(~F.col("whole"), F.col("bits")).alias("bits")).alias("x")).groupBy("id", "th").agg(F.collect_set("x").alias("spans"))
+    span = lambda lo, n, bits: F.struct(lo.alias("lo"), n.alias("n"), bits.alias("bits"))
+    all_of = F.array(span(F.col("lo"), F.col("n"), F.lit(None).cast("binary")))
+    some_of = F.transform("bits", lambda x: span(F.col("lo") + x["first"], x["n"], x["bits"]))
+    marks = hits.select("id", "th", F.explode(F.when(F.col("whole"), all_of).otherwise(some_of)).alias("x")).groupBy("id", "th").agg(F.collect_set("x").alias("spans"))
     return marks
 
 
