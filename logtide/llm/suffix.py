@@ -23,6 +23,8 @@ GRAM = 32
 LENGTH = 200
 #: Bytes of pieces in one suffix order, about.
 BATCH = 1 << 21
+#: Slices in one batch of rows, about.
+ROWS = 20_000
 _ODD, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 31) - 1)
 
 
@@ -120,13 +122,19 @@ def longest_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in range(len(batch)):
-                data = batch.column(1)[row].as_py()
+            row, cols, held = [], [], 0
+            for k, text in enumerate(batch.column(1)):
+                data = text.as_py()
                 mins, lo, size, o = slices(data, length)
-                own = np.fromiter((xxhash.xxh3_64_intdigest(data[i : i + k + length - 1]) for i, k in zip(lo.tolist(), size.tolist())), np.uint64, len(lo))
-                ids = batch.column(0).take(pa.array(np.full(len(lo), row)))
-                th = pa.array(np.full(len(lo), batch.column(2)[row].as_py(), np.int64))
-                yield pa.RecordBatch.from_arrays([ids, th, pa.array(mins.view(np.int64)), pa.array(own.view(np.int64)), pa.array(lo.astype(np.int32)), pa.array(size.astype(np.int32)), pa.array(o.astype(np.int32))], ["id", "th", "m", "s", "lo", "n", "o"])
+                ends = (lo + size + length - 1).tolist()
+                own = np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(lo.tolist(), ends)), np.uint64, len(lo))
+                row.append(np.full(len(lo), k))
+                cols.append((mins.view(np.int64), own.view(np.int64), lo.astype(np.int32), size.astype(np.int32), o.astype(np.int32)))
+                held += len(lo)
+                if held >= ROWS or k + 1 == len(batch):
+                    same = batch.select(["id", "th"]).take(pa.array(np.concatenate(row)))
+                    yield pa.RecordBatch.from_arrays([*same.columns, *(pa.array(np.concatenate(c)) for c in zip(*cols))], ["id", "th", "m", "s", "lo", "n", "o"])
+                    row, cols, held = [], [], 0
 
     return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, m long, s long, lo int, n int, o int")
 
