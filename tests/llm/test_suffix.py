@@ -30,3 +30,13 @@ def test_matches_all_strings(spark, keep_first):
         assert got[i].n_removed == sum(gone)
         assert got[i].n_spans == sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
     assert suffix.dedup(df.limit(0)).count() == 0
+
+
+def test_repeated_rows_are_one(spark):
+    random.seed(6)
+    word = lambda n: " ".join("".join(random.choices("abc", k=5)) for _ in range(n))
+    shared = word(80)
+    a, b = word(30) + shared, shared + word(30)
+    df = spark.createDataFrame([(1, a), (1, a), (2, b)], "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_removed) for r in suffix.dedup(df).collect())
+    assert got == [(1, 0), (1, 0), (2, len(shared))]
