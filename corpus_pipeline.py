@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import numpy as np
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logtide.llm import bpe, contamination, rules, simhash, suffix
+from logtide.llm import bpe, contamination, near, rules, suffix
 from logtide.llm.storage import written
 
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def _text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents that pass the current policy."""
     keep = rules.ledger(docs).where(rules.passes("v1")).select("doc_id").distinct()
@@ -20,10 +24,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the least id of each SimHash component (five-word shingles)."""
-    found = simhash.simhash_components(docs, width=5, radius=4)
-    keep = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(_COLUMNS)
+    """Keeps one document of each component of near copies: five-word shingle sets of Jaccard similarity 0.8 or more.
+
+    It is the one with the least id, null ids last, then the least text hash; rows equal in id and text are one.
+    """
+    found = near.near_copies(docs)
+    order = F.struct(F.col("id").isNull().alias("n"), "id", "th")
+    keep = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.th").alias("_keep"))
+    keyed = docs.withColumn("_th", _text_hash())
+    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_keep")), "left_semi")
+    return kept.dropDuplicates(["doc_id", "_th"]).select(_COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,7 +49,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
         gone = np.logical_and.reduceat(suffix.removed(data, marks), first)
         return data[~np.repeat(gone, np.diff(np.r_[first, len(data)]))].tobytes().decode()
 
-    keyed = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit("")).cast("binary")))
+    keyed = docs.withColumn("_th", _text_hash())
     named = spans.select(F.col("id").alias("_id"), F.col("th").alias("_span_th"), F.col("spans").alias("_spans"))
     both = keyed.join(named, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_span_th")), "left")
     text = F.when(F.col("_spans").isNotNull(), cut("text", "_spans")).otherwise(F.col("text"))

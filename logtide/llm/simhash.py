@@ -24,27 +24,30 @@ TILE = 4096
 _BLOCK = 1 << 15
 
 
-def fingerprint(data: bytes | None, width: int = 4, seed: int = 42) -> int:
-    """SimHash of a UTF-8 text's ``width``-word shingles, as an unsigned integer; 0 if it has no words.
+def shingles(data: bytes | None, width: int = 4, seed: int = 42) -> np.ndarray:
+    """Hashes of a UTF-8 text's ``width``-word shingles, repeats included; none if it has no words.
 
-    A-Z are lower-cased, words are runs of anything but space, tab, LF, VT, FF and CR; repeats count.
+    A-Z are lower-cased, words are runs of anything but space, tab, LF, VT, FF and CR; fewer words are one shingle.
     """
     words = (data or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     text = b" ".join(words)
     if len(words) <= width:
-        hashes = np.array([xxhash.xxh64_intdigest(text, seed)], dtype=np.uint64)
-    else:
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        end = np.cumsum(size + 1) - 1
-        begin = end - size
-        digest = xxhash.xxh64_intdigest
-        hashes = np.fromiter(
-            (digest(text[i:j], seed) for i, j in zip(begin[: 1 - width or None].tolist(), end[width - 1 :].tolist())),
-            np.uint64,
-            len(words) - width + 1,
-        )
+        return np.array([xxhash.xxh64_intdigest(text, seed)], dtype=np.uint64)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    end = np.cumsum(size + 1) - 1
+    begin = end - size
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter(
+        (digest(text[i:j], seed) for i, j in zip(begin[: 1 - width or None].tolist(), end[width - 1 :].tolist())),
+        np.uint64,
+        len(words) - width + 1,
+    )
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that more than half of the hashes have; 0 without hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for k in range(0, len(hashes), _BLOCK):
         part = hashes[k : k + _BLOCK]
@@ -52,6 +55,11 @@ def fingerprint(data: bytes | None, width: int = 4, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
+def fingerprint(data: bytes | None, width: int = 4, seed: int = 42) -> int:
+    """SimHash of a UTF-8 text's ``width``-word shingles, as an unsigned integer; 0 if it has no words; repeats count."""
+    return majority(shingles(data, width, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, width: int = 4, seed: int = 42) -> DataFrame:
     """``(id, fp)``; fp is the fingerprint's 64 bits as a long."""
 
