@@ -17,10 +17,22 @@ def _text_hash() -> Column:
     return F.xxhash64(F.coalesce("text", F.lit("")).cast("binary"))
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """With ``_key``, which tells rows apart by id and text; a null text is an empty one."""
+    return docs.withColumn("_key", F.struct("doc_id", _text_hash().alias("th")))
+
+
+def _where(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """Rows of ``docs`` whose id, null ids included, and text are in ``keys(_key)`` (``left_semi``) or not (``left_anti``)."""
+    keys = keys.select(F.col("_key.doc_id").alias("_id"), F.col("_key.th").alias("_of")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_of"))
+    return docs.withColumn("_th", _text_hash()).join(keys, same, how)
+
+
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps documents that pass the current policy."""
-    keep = rules.ledger(docs).where(rules.passes("v1")).select("doc_id").distinct()
-    return docs.join(keep, "doc_id", "left_semi").select(_COLUMNS)
+    """Keeps documents that pass the current policy; each row, null and repeated ids included, by its own text."""
+    keep = rules.ledger(_keyed(docs), "_key").where(rules.passes("v1"))
+    return _where(docs, keep, "left_semi").select(_COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,14 +42,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     found = near.near_copies(docs)
     order = F.struct(F.col("id").isNull().alias("n"), "id", "th")
-    keep = found.groupBy("component").agg(F.min(order).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.th").alias("_keep"))
-    keyed = docs.withColumn("_th", _text_hash())
-    kept = keyed.join(keep, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_th") == F.col("_keep")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_th"]).select(_COLUMNS)
+    keep = found.groupBy("component").agg(F.min(order).alias("k")).select(F.struct(F.col("k.id").alias("doc_id"), "k.th").alias("_key"))
+    return _where(docs, keep, "left_semi").dropDuplicates(["doc_id", "_th"]).select(_COLUMNS)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts later copies of 200-byte strings, keeping the first; documents stay, characters are never split."""
+    """Cuts later copies of 200-byte strings, keeping the first; documents stay, characters are never split.
+
+    Rows are told apart by id and text; null ids come first, repeated ids in the order of their text hashes.
+    """
     spans = suffix.repeated_spans(docs, keep_first=True)
 
     @F.udf("string")
@@ -57,14 +70,14 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def benchmark_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops contaminated documents."""
+    """Drops contaminated documents; each row, null and repeated ids included, by its own text."""
     bench = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    gone = contamination.digest(contamination.contamination(docs, bench)).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(_COLUMNS)
+    gone = contamination.digest(contamination.contamination(_keyed(docs), bench, "_key"), "_key").where("contaminated")
+    return _where(docs, gone, "left_anti").select(_COLUMNS)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of every document that is left."""
+    """Ids of every row that is left, null and repeated ids included."""
     return bpe.digest(bpe.token_rows(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
