@@ -19,6 +19,8 @@ HIDDEN = set("script style noscript template head title iframe object svg select
 FURNITURE = set("nav footer aside form header menu dialog".split())
 NAMES = set("ad ads advert advertisement banner breadcrumb comment comments cookie disclaimer footer header menu nav navbar newsletter notice popup promo related share sidebar social sponsor widget".split())
 STOP = set("the of and to in a is that for it was on are with by this be as at from or an le la de les des et un une du en que qui dans est pour par sur au pas der die und das den von zu mit sich ein eine ist im dem nicht auf el los y las se por con su para al lo como".split())
+#: All that can be in a head; any other element ends an open one, as its end tag is optional.
+IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 SHORT, LONG, LINKS, DENSE, THIN = 70, 200, 0.5, 0.2, 0.1
 
@@ -37,9 +39,16 @@ class _Blocks(HTMLParser):
             self.blocks.append({"text": text, "links": self.linked / len(text), "bad": any(b for _, b, _ in self.stack), "main": any(m for _, _, m in self.stack)})
         self.text, self.linked = [], 0
 
+    def end_head(self, tag: str | None) -> None:
+        """Ends an open head before ``tag`` or, if that is None, before text; only body ends its hidden elements too."""
+        at = next((k for k, (t, _, _) in enumerate(self.stack) if t == "head"), None)
+        if at is not None and tag not in IN_HEAD and (tag == "body" or not any(t in HIDDEN for t, _, _ in self.stack[at + 1 :])):
+            del self.stack[at:]
+
     def handle_starttag(self, tag, attrs):
         if tag in BLOCKS:
             self.cut()
+        self.end_head(tag)
         if tag == "br":
             self.text.append(" ")
         if tag == "p":  # an open paragraph, with the inline elements in it, ends here
@@ -63,6 +72,8 @@ class _Blocks(HTMLParser):
                 break
 
     def handle_data(self, data):
+        if not data.isspace():
+            self.end_head(None)
         if any(t in HIDDEN for t, _, _ in self.stack):
             return
         self.text.append(data)
@@ -93,9 +104,9 @@ def extract(html: str | None) -> str:
     for b in blocks:
         words = b["text"].lower().split()
         dense = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
-        if b["bad"] or b["links"] > LINKS or (within and not b["main"]):
+        if b["bad"] or (b["links"] > LINKS and not b["main"]) or (within and not b["main"]):
             labels.append(False)
-        elif len(b["text"]) < SHORT:
+        elif len(b["text"]) < SHORT or b["links"] > LINKS:  # in an article links alone decide nothing
             labels.append(None)
         elif dense >= DENSE or (b["main"] and len(b["text"]) >= LONG) or dense >= THIN:
             labels.append(True)
