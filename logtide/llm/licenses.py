@@ -107,32 +107,34 @@ def matches(found: DataFrame, templates: DataFrame, least: float = LEAST) -> Dat
     return lines.join(named, "pid").select("kind", "terms", "license", "cosine")
 
 
-def scan(files: DataFrame, templates: DataFrame, path_col: str = "path", text_col: str = "text", licence_file: Column | None = None, least: float = LEAST) -> DataFrame:
-    """``(path, license, cosine, origin)`` for each row of ``files``.
+def scan(files: DataFrame, templates: DataFrame, path_col: str = "path", text_col: str = "text", licence_file: Column | None = None, least: float = LEAST, carry: tuple[str, ...] = ()) -> DataFrame:
+    """``(*carry, path, license, cosine, origin)`` for each row of ``files``; ``carry`` names columns to hand on.
 
     ``origin`` is ``declared`` for a file with a matching passage of its own (a licence file's whole text counts before
     its headers), else ``inherited`` if an ancestor
     directory has a licence file (``licence_file`` says which rows are; by default names like LICENSE or COPYING),
     the nearest one's, else ``none``. Several matching headers, or licence files of one directory: the highest cosine,
-    then the first name. Null and empty texts declare nothing; null paths inherit nothing; repeated rows stay repeated.
+    then the first name. Null and empty texts declare nothing; null paths inherit nothing, but declare; rows of one path
+    declare by their own texts; repeated rows stay repeated.
     """
     if licence_file is None:
         licence_file = F.element_at(F.split(F.col(path_col), "/"), -1).rlike(r"(?i)^(licen[cs]e|copying|notice)(\..*)?$")
-    found = written(passages(files, templates, path_col, text_col, licence_file), "license-found")
+    own_key = F.struct(F.coalesce(path_col, F.lit("")).alias("path"), F.col(path_col).isNull().alias("none"), F.coalesce(F.xxhash64(text_col), F.lit(0)).alias("th"))
+    found = written(passages(files.withColumn("_key", own_key), templates, "_key", text_col, licence_file), "license-found")
     hits = found.join(matches(found, templates, least), ["kind", "terms"])
     best = F.min(F.struct((F.col("kind") != "file").alias("part"), (-F.col("cosine")).alias("c"), "license")).alias("own")
-    own = written(hits.groupBy("path").agg(best), "license-own")
-    rows = files.select(F.col(path_col).alias("path"), F.coalesce(licence_file, F.lit(False)).alias("_is"))
+    own = written(hits.groupBy(F.col("path").alias("_key")).agg(best), "license-own")
+    rows = files.select(*carry, F.col(path_col).alias("path"), own_key.alias("_key"), F.coalesce(licence_file, F.lit(False)).alias("_is"))
     parent = F.regexp_replace("path", "/?[^/]*$", "")
-    of_dir = rows.where("_is").select("path").distinct().join(own, "path").groupBy(parent.alias("dir")).agg(F.min("own").alias("up"))
+    of_dir = rows.where("_is").select("path", "_key").distinct().join(own, "_key").groupBy(parent.alias("dir")).agg(F.min("own").alias("up"))
     parts = F.split(F.col("dir"), "/")
     dirs = rows.select(parent.alias("dir")).distinct().where("dir IS NOT NULL")
     above = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(0), F.size(parts)), lambda k: F.array_join(F.slice(parts, 1, k), "/"))).alias("up_dir"))
     above = above.select("dir", "up_dir", F.length("up_dir").alias("deep")).distinct()
     near = above.join(of_dir.withColumnRenamed("dir", "up_dir"), "up_dir").groupBy("dir").agg(F.max_by("up", "deep").alias("up"))
     near = near.select("dir", "up", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    keyed = rows.select("path", parent.alias("dir"), F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"))
-    out = keyed.join(own, "path", "left").join(near, ["dir", "salt"], "left")
+    keyed = rows.select(*carry, "path", "_key", parent.alias("dir"), F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int").alias("salt"))
+    out = keyed.join(own, "_key", "left").join(near, ["dir", "salt"], "left")
     origin = F.when(F.col("own").isNotNull(), "declared").when(F.col("up").isNotNull(), "inherited").otherwise("none")
     chosen = F.coalesce("own", "up")
-    return out.select("path", chosen["license"].alias("license"), (-chosen["c"]).alias("cosine"), origin.alias("origin"))
+    return out.select(*carry, "path", chosen["license"].alias("license"), (-chosen["c"]).alias("cosine"), origin.alias("origin"))

@@ -51,15 +51,17 @@ def op8_quality_rules(spark, sf_dir):
 
 
 def op9_licenses(spark, sf_dir):
-    """Each document is the file source/lang/block/doc_id; ids of whole hundreds are licence files of source/lang."""
+    """Each document is the file source/lang/block/doc_id; ids of whole hundreds are licence files of source/lang.
+
+    A part that is null is ``_``; a null id is no licence file.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    block = F.floor(F.col("doc_id") / 1000).cast("string")
-    path = F.when(F.col("doc_id") % 100 == 0, F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")))
-    path = F.coalesce(path, F.concat_ws("/", "source", "lang", block, F.col("doc_id").cast("string")))
-    files = docs.select(path.alias("path"), "text")
-    name = F.element_at(F.split(F.col("path"), "/"), -1)
-    found = licenses.scan(files, licenses.template_table(spark), licence_file=name.cast("long") % 100 == 0)
-    return found.select(name.cast("long").alias("doc_id"), "path", "license", "cosine", "origin")
+    part = lambda c: F.coalesce(c.cast("string"), F.lit("_"))
+    licence_file = F.coalesce(F.col("doc_id") % 100 == 0, F.lit(False))
+    names = [part(F.col("source")), part(F.col("lang")), F.when(~licence_file, part(F.floor(F.col("doc_id") / 1000))), part(F.col("doc_id"))]
+    files = docs.select("doc_id", F.concat_ws("/", *names).alias("path"), "text")
+    found = licenses.scan(files, licenses.template_table(spark), licence_file=licence_file, carry=("doc_id",))
+    return found.select("doc_id", "path", "license", "cosine", "origin")
 
 
 def op10_toxicity(spark, sf_dir):

@@ -25,3 +25,14 @@ def test_whole_texts_spdx_lines_and_statements(spark):
     assert [got[f"spdx/{n}.py"] for n in ("MIT", "Apache-2.0", "BSD-3-Clause", "GPL-3.0-or-later")] == [(n, "declared") for n in ("MIT", "Apache-2.0", "BSD-3-Clause", "GPL-3.0")]
     assert got["h/wrapped.c"] == ("GPL-3.0", "declared") and got["h/long.txt"] == ("MIT", "declared")
     assert got["h/zlib.py"] == got["h/talk.txt"] == got["p/LICENSE"] == (None, "none")
+
+
+def test_query_with_nulls_and_repeated_ids(spark, tmp_path):
+    from logtide.llm import queries
+
+    mit, gpl = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["GPL-3.0"]
+    rows = [(None, mit, "en", "s"), (None, "code", "en", "s"), (100, gpl, "en", "s"), (7, None, "en", "s"), (8, "code", None, "s"), (9, mit, "en", None), (5, mit, "en", "s"), (5, "code", "en", "s")]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(((r.doc_id, r.license, r.origin) for r in queries.op9_licenses(spark, str(tmp_path)).collect()), key=str)
+    want = [(None, "MIT", "declared"), (None, "GPL-3.0", "inherited"), (100, "GPL-3.0", "declared"), (7, "GPL-3.0", "inherited"), (8, None, "none"), (9, "MIT", "declared"), (5, "MIT", "declared"), (5, "GPL-3.0", "inherited")]
+    assert got == sorted(want, key=str)
