@@ -1,43 +1,115 @@
-"""BPE encoding and decoding with a public tokenizer file.
+"""BPE encoding and decoding with a public tokenizer file, by tree concatenation.
 
-Text without white space inside is unsplit text: words reach the tokenizer one by one, and a long one is halved again
-and again, its halves are encoded side by side and joined by re-encoding a growing window around each join until the
-window's tokens agree with those of both sides.
+A text longer than ``LEAF`` characters is unsplit text: it is halved again and again at any place, its halves are
+encoded side by side, and neighbours are joined by re-encoding a growing window of runs around each join until the
+window's outer runs have the ids that both sides gave them. Texts over ``SPREAD`` characters are dealt to Spark rows by
+piece, so that no task encodes one alone; shorter ones go up their tree in one task. A run without white space that is
+itself longer than ``LEAF`` has a tree of its own, of tokens and their places.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
+from tokenizers import Tokenizer, pre_tokenizers
 
-#: Characters of a run that are encoded in one piece; longer runs are halved.
+#: Characters that are encoded in one piece; longer texts and runs are halved.
 LEAF = 4096
-#: Runs whose ids a worker remembers; past that it starts afresh.
-REMEMBERED = 300_000
-_known: dict[str, dict[str, bytes]] = {}
+#: Characters of a text that are one row's work; longer texts become rows of so many characters.
+SPREAD = 1 << 16
+#: Runs, and parts of runs, whose ids a worker remembers, and the longest that is remembered: together they bound its memory.
+REMEMBERED, LONGEST = 300_000, 48
+#: Characters of texts that are worked on together, about.
+TOGETHER = 1 << 22
+#: Runs that a piece dealt to another row keeps apart at each end, for the windows; two are enough for agreement.
+EDGE = 4
+_known: dict[str, Runs] = {}
+#: Runs between the white space that the tokenizer's own pattern knows.
+_RUN = re.compile("[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
+#: A short run of signs that lower-casing and composition treat one by one.
+_WEST = re.compile(rf"[!-~\xa1-\u012f]{{1,{LONGEST}}}").fullmatch
+_SPACE = re.compile(_RUN.pattern.replace("[^", "["))
 
 
 @lru_cache(maxsize=4)
 def tokenizer(path: str) -> Tokenizer:
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # each Spark task is a thread of work already
     t = Tokenizer.from_file(path)
     t.no_truncation()
     t.no_padding()
     return t
 
 
+@lru_cache(maxsize=4)
+def _tokens(path: str) -> dict[int, str]:
+    return {i: s for s, i in tokenizer(path).get_vocab(with_added_tokens=True).items()}
+
+
+def decode(path: str, ids: np.ndarray) -> str:
+    """Text of some ids, special ones included; ids that the vocabulary lacks are left out."""
+    t = tokenizer(path)
+    if t.decoder is not None:
+        return t.decode(ids.tolist(), skip_special_tokens=False)
+    known = _tokens(path)  # without a decoder of its own, a tokenizer's text is its tokens with spaces between
+    try:
+        return " ".join(map(known.__getitem__, ids.tolist()))
+    except KeyError:
+        return " ".join(known[i] for i in ids.tolist() if i in known)
+
+
+def runs_of(text: str) -> list[str]:
+    """Runs between white space."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # white space to Python, not to the tokenizer
+        return _RUN.findall(text)
+    return text.split()
+
+
+class Node(NamedTuple):
+    """A piece of text: its runs with their ids, and whether it begins and ends inside a run."""
+
+    items: list[tuple[str | None, bytes]]  # one without text stands for all runs between the edges
+    opens: bool
+    closes: bool
+
+
+def join(left: Node, right: Node, ids_of: Callable[[str], bytes]) -> Node:
+    """One node from two neighbours; the window around the join grows until its outer runs agree with both sides."""
+    gap, w = "" if left.closes and right.opens else " ", 1
+    while True:
+        a, b = left.items[-w:], right.items[:w]
+        whole_left, whole_right = len(a) == len(left.items), len(b) == len(right.items)
+        window = " ".join(r for r, _ in a) + gap + " ".join(r for r, _ in b)
+        got = [(r, ids_of(r)) for r in runs_of(window)]
+        if (whole_left or got[0] == a[0]) and (whole_right or got[-1] == b[-1]):
+            items = left.items[: len(left.items) - len(a)] + got + right.items[len(b) :]
+            return Node(items, left.opens if left.items else right.opens and not gap, right.closes if right.items else left.closes and not gap)
+        w *= 2
+
+
+def up(level: list[Node], ids_of: Callable[[str], bytes]) -> Node:
+    """The node of the whole text from its pieces, in pairs and in order."""
+    while len(level) > 1:
+        level = [join(*level[k : k + 2], ids_of) if k + 1 < len(level) else level[k] for k in range(0, len(level), 2)]
+    return level[0]
+
+
 def _spans(t: Tokenizer, texts: list[str]) -> list[tuple[list[int], list[tuple[int, int]]]]:
     return [(e.ids, e.offsets) for e in t.encode_batch(texts, add_special_tokens=False)]
 
 
 def tree_encode(path: str, text: str, leaf: int = LEAF) -> list[int]:
-    """Ids of one text, by halving, encoding the pieces side by side, and joining pairs up the tree.
+    """Ids of one long run, by halving, encoding the pieces side by side, and joining pairs up the tree.
 
     A window begins and ends on token bounds. A join holds when the window's first and last tokens, with their
     places, are those of the left and right sides; else the window doubles, up to both sides whole.
@@ -69,48 +141,208 @@ def _join(t: Tokenizer, text: str, left: tuple, right: tuple) -> tuple:
         size *= 2
 
 
+class Runs(dict):
+    """Runs to their ids, little-endian unsigned 32-bit; the tokenizer drops white space and never merges across it."""
+
+    def __init__(self, path: str, leaf: int):
+        self.path, self.leaf = path, leaf
+        self.tokenizer = tokenizer(path)
+        self.parts: dict[str, bytes] = {}
+        self.cut = self.bare = None
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
+        end = spec["model"].get("end_of_word_suffix")
+        if kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and end:
+            self.cut = regex.compile(steps[0]["pattern"]["Regex"] + "|\n")
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer = None
+            self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+            self.last = np.zeros(max(_tokens(path)) + 1, bool)
+            self.last[[i for i, x in _tokens(path).items() if x.endswith(end)]] = True
+
+    def __missing__(self, run: str) -> bytes:
+        if len(run) > self.leaf:
+            return np.array(tree_encode(self.path, run, self.leaf), "<u4").tobytes()
+        return np.array(self.tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _plain(self, texts: list[str]) -> dict[str, bytes]:
+        return {r: np.array(e.ids, "<u4").tobytes() for r, e in zip(texts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False))}
+
+    def _letters(self, words: list[str]) -> dict[str, bytes]:
+        """Ids of lower-case words of letters, many in one call: each ends with the only token that closes a word."""
+        out = {}
+        for at in range(0, len(words), 500):
+            part = words[at : at + 500]
+            ids = np.array(self.bare.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            ends = np.flatnonzero(self.last[ids]) + 1
+            if len(ends) != len(part):
+                out |= self._plain(part)
+                continue
+            data, begin = ids.tobytes(), 0
+            for word, end in zip(part, (4 * ends).tolist()):
+                out[word] = data[begin:end]
+                begin = end
+        return out
+
+    def learn(self, runs: list[str]) -> dict[str, bytes]:
+        """Ids of new runs. One of Western letters and signs is lower-cased and cut by the tokenizer's own pattern first."""
+        easy, hard = [], []
+        for r in runs:
+            (easy if self.cut and _WEST(r) and "<|" not in r else hard).append(r)
+        out = self._plain([r for r in hard if len(r) <= self.leaf]) | {r: self[r] for r in hard if len(r) > self.leaf}
+        if easy:
+            pieces = self.cut.findall("\n".join(easy).lower() + "\n")
+            fresh = set(pieces).difference(self.parts, "\n")
+            if len(self.parts) + len(fresh) > REMEMBERED:
+                self.parts = {"\n": b"\n"}
+                fresh = set(pieces).difference("\n")
+            letters = [x for x in fresh if x.isalpha()]
+            found = self._letters(letters) | self._plain([x for x in fresh if not x.isalpha()])
+            self.parts |= found | {"\n": b""}
+            ids, begin = list(map(self.parts.__getitem__, pieces)), 0
+            for word, end in zip(easy, [k for k, x in enumerate(pieces) if x == "\n"]):
+                out[word] = ids[begin] if end == begin + 1 else b"".join(ids[begin:end])
+                begin = end + 1
+        return out
+
+    def of(self, runs: list[str]) -> list[bytes]:
+        """Ids of different runs; the short ones are remembered."""
+        got = list(map(self.get, runs))
+        fresh = self.learn([r for r, x in zip(runs, got) if x is None])
+        if fresh:
+            got = [fresh[r] if x is None else x for r, x in zip(runs, got)]
+            if len(self) + len(fresh) > REMEMBERED:
+                self.clear()
+            if len(fresh) <= REMEMBERED:
+                self.update((r, x) for r, x in fresh.items() if len(r) <= LONGEST)
+        return got
+
+
+def _cut(pieces: list[str]) -> pa.ListArray:
+    """The runs of each piece; an empty one stands for white space at either end."""
+    if any(c in x for x in pieces for c in "\x1c\x1d\x1e\x1f"):  # white space to Arrow, not to the tokenizer
+        return pa.array([_SPACE.split(x) for x in pieces], pa.list_(pa.string()))
+    return pc.utf8_split_whitespace(pa.array(pieces, pa.string()))
+
+
+def _known_runs(path: str, leaf: int) -> Runs:
+    known = _known.get(path)
+    if known is None or known.leaf != leaf:
+        known = _known[path] = Runs(path, leaf)
+    return known
+
+
+def _nodes(path: str, texts: list[str], leaf: int, all_nodes: bool = False) -> Iterator[Node | bytes]:
+    """Ids of each text of one piece, the node at the top of the tree of each longer one (of each, if ``all_nodes``)."""
+    known = _known_runs(path, leaf)
+    parts = [[x[k : k + leaf] for k in range(0, len(x), leaf)] or [""] for x in texts]
+    cut = _cut([p for x in parts for p in x])
+    coded = cut.values.dictionary_encode()
+    words, codes, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy(), cut.offsets.to_numpy()
+    ids = known.of(words)
+    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+    each = size[codes]
+    ends = np.cumsum(each)
+    first = (np.cumsum(size) - size)[codes] - (ends - each)
+    flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first, each) + np.arange(ends[-1] if len(ends) else 0)]
+    ends = np.r_[0, ends]
+    at = 0
+    for x in parts:
+        if len(x) == 1 and not all_nodes:
+            yield flat[ends[bounds[at]] : ends[bounds[at + 1]]].tobytes()
+        else:
+            level = []
+            for p in range(at, at + len(x)):
+                i, j = bounds[p], bounds[p + 1]
+                opens, closes = words[codes[i]] != "", words[codes[j - 1]] != ""
+                named = lambda a, b: [(words[c], ids[c]) for c in codes[a:b] if words[c]]
+                if j - i > 2 * EDGE + 2:
+                    a, b = i + EDGE + 1, j - EDGE - 1
+                    items = named(i, a) + [(None, flat[ends[a] : ends[b]].tobytes())] + named(b, j)
+                else:
+                    items = named(i, j)
+                level.append(Node(items, opens, closes))
+            yield up(level, known.__getitem__)
+        at += len(x)
+
+
+def batches_of(texts: list[str]) -> Iterator[tuple[int, int]]:
+    begin, size = 0, 0
+    for k, x in enumerate(texts):
+        size += len(x)
+        if size >= TOGETHER or k + 1 == len(texts):
+            yield begin, k + 1
+            begin, size = k + 1, 0
+
+
 def encode(path: str, texts: list[str], leaf: int = LEAF) -> list[np.ndarray]:
-    """Ids of whole texts as the tokenizers library gives them, as unsigned 32-bit arrays.
+    """Ids of whole texts as the tokenizers library gives them, as unsigned 32-bit arrays."""
+    out = []
+    for i, j in batches_of(texts):
+        for x in _nodes(path, texts[i:j], leaf):
+            out.append(np.frombuffer(x if isinstance(x, bytes) else b"".join(i for _, i in x.items), "<u4"))
+    return out
 
-    The tokenizer drops white space and never merges across it, so each run between white space is encoded once and
-    remembered; runs longer than ``leaf`` go through the tree.
-    """
-    t, known = tokenizer(path), _known.setdefault(path, {})
-    plain = [_RUN.findall(text) for text in texts]
-    fresh = list({r for runs in plain for r in runs if r not in known})
-    if len(known) + len(fresh) > REMEMBERED:
-        known.clear()
-        fresh = list({r for runs in plain for r in runs})
-    short = [r for r in fresh if len(r) <= leaf]
-    for at in range(0, len(short), 20_000):
-        for r, e in zip(short[at : at + 20_000], t.encode_batch_fast(short[at : at + 20_000], add_special_tokens=False)):
-            known[r] = np.array(e.ids, dtype="<u4").tobytes()
-    for r in fresh:
-        if len(r) > leaf:
-            known[r] = np.array(tree_encode(path, r, leaf), dtype="<u4").tobytes()
-    return [np.frombuffer(b"".join(map(known.__getitem__, runs)), dtype="<u4") for runs in plain]
 
+_PIECE = "opens boolean, closes boolean, items array<struct<run: string, ids: binary>>"
 
-#: Runs between the white space that the tokenizer's own pattern knows.
-_RUN = re.compile(r"[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
+
+def _pieces(rows: DataFrame, path: str, leaf: int) -> DataFrame:
+    """``rows(id, th, k, n, piece)`` to the node of each piece, its middle runs put together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("run", pa.string()), ("ids", pa.binary())]))
+        for batch in batches:
+            for at in range(0, len(batch), 16):
+                part = batch.slice(at, 16)
+                out = []
+                for top in _nodes(path, part.column(4).to_pylist(), leaf, True):
+                    items = top.items
+                    if len(items) > 2 * EDGE + 1:
+                        items = items[:EDGE] + [(None, b"".join(i for _, i in items[EDGE:-EDGE]))] + items[-EDGE:]
+                    out.append((top.opens, top.closes, [{"run": r, "ids": i} for r, i in items]))
+                opens, closes, items = zip(*out)
+                yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(opens), pa.array(closes), pa.array(items, kind)], [*part.schema.names[:4], "opens", "closes", "items"])
+
+    return rows.select("id", "th", "k", "n", "piece").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, th long, k int, n long, {_PIECE}")
 
 
-def token_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF) -> DataFrame:
+def token_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
     """``(id_col, ids binary, decoded)``: ids are little-endian unsigned 32-bit integers; null texts count as empty.
 
-    One row for each input row, repeated ones too; an empty table gives an empty table; other columns are not read.
+    One row for each input row, repeated ones too, which are encoded once if longer than ``spread``; null ids are ids
+    like any other; an empty table gives an empty table; other columns are not read and may have any name.
     """
+    chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    kind = dict(chosen.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 256):
-                part = batch.slice(at, 256)
-                ids = encode(path, [x or "" for x in part.column(1).to_pylist()], leaf)
-                said = tokenizer(path).decode_batch([x.tolist() for x in ids], skip_special_tokens=False)
+            texts = batch.column(1).to_pylist()
+            for i, j in batches_of(texts):
+                part = batch.slice(i, j - i)
+                ids = encode(path, texts[i:j], leaf)
+                said = [decode(path, x) for x in ids]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in ids], pa.binary()), pa.array(said, pa.string())], ["id", "ids", "decoded"])
 
-    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, ids binary, decoded string").withColumnRenamed("id", id_col)
+    def tops(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, pieces in enumerate(batch.column(1)):
+                pieces = sorted(pieces.as_py(), key=lambda p: p["k"])
+                level = [Node([(i["run"], i["ids"]) for i in p["items"]], p["opens"], p["closes"]) for p in pieces]
+                ids = b"".join(i for _, i in up(level, _known_runs(path, leaf).__getitem__).items)
+                said = decode(path, np.frombuffer(ids, "<u4"))
+                for _ in range(pieces[0]["n"]):
+                    yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([ids], pa.binary()), pa.array([said])], ["id", "ids", "decoded"])
+
+    size = F.char_length("text")
+    short = chosen.where(size <= spread).mapInArrow(run, f"id {kind}, ids binary, decoded string")
+    dealt = chosen.where(size > spread).select("id", F.xxhash64("text").alias("th"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{spread}}}"), F.lit(0))).alias("k", "piece"))
+    dealt = dealt.groupBy("id", "th", "k").agg(F.count("*").alias("n"), F.first("piece").alias("piece"))
+    found = _pieces(dealt, path, leaf).groupBy("id", "th").agg(F.collect_list(F.struct("k", "n", "opens", "closes", "items")).alias("pieces"))
+    long = found.select("id", "pieces").mapInArrow(tops, f"id {kind}, ids binary, decoded string")
+    return short.union(long).withColumnRenamed("id", id_col)
 
 
 def digest(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:

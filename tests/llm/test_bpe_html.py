@@ -37,3 +37,21 @@ def test_html(spark):
     assert rows[0].text == "Head & line\nFirst one\nThe second of the blocks is long enough to be decided by itself, and it stays.\nEnd."
     assert rows[0].n_chars == len(rows[0].text)
     assert [r.text for r in rows[1:]] == ["", ""]
+
+
+def test_long_texts_go_up_the_tree_like_the_library(spark):
+    random.seed(9)
+    words = ["".join(random.choices("abcdétion's1.", k=random.randint(1, 14))) for _ in range(400)] + ["<|endoftext|>", "İx", "é́"]
+    gaps = [" ", " ", "\n", "　", "\u0085", "\x1c", "  "]
+    texts = ["".join(random.choice(words) + random.choice(gaps) for _ in range(n)) for n in (5, 40, 300, 1500)] + ["x" * 900, " " * 700, "", None, "ab " * 300 + "é" * 800]
+    t = bpe.tokenizer(PATH)
+    for leaf in (5, 16, 100):
+        for got, text in zip(bpe.encode(PATH, [x or "" for x in texts], leaf), texts):
+            assert got.tolist() == t.encode(text or "", add_special_tokens=False).ids
+    rows = [(None if i == 2 else i, x, i) for i, x in enumerate(texts)] + [(3, texts[3], 0)] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string, piece int")
+    got = [(r.doc_id, bytes(r.ids), r.decoded) for r in bpe.token_rows(df, PATH, leaf=64, spread=200).collect()]
+    ids = [t.encode(x or "", add_special_tokens=False).ids for _, x, _ in rows]
+    want = [(r[0], b"".join(i.to_bytes(4, "little") for i in x), t.decode(x, skip_special_tokens=False)) for r, x in zip(rows, ids)]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert bpe.token_rows(df.limit(0), PATH).count() == 0
