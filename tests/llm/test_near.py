@@ -52,5 +52,37 @@ def test_dense_group_hands_on_few_pairs_and_splits_nothing(spark):
     for r in near.near_copies(docs).collect():
         got.setdefault(r.component, []).append(r.id)
     assert {i: min(v) for v in got.values() for i in v} == label
+    small = {}
+    for r in near.near_copies(docs, tile=4096).collect():
+        small.setdefault(r.component, []).append(r.id)
+    assert {i: min(v) for v in small.values() for i in v} == label
     nodes = spark.createDataFrame([(n, len(s), n[:16]) for s, n in ((s, near.node(s)) for s in (near.shingle_set(t.encode()) for _, t in rows))], "node binary, size long, label binary")
-    assert near.near_pairs(nodes, forest=True).count() <= 2 * len(rows) < near.near_pairs(nodes).count()
+    found = near.tiles(nodes, 0.8)
+    inside = near.tile_pairs(found, near.RADIUS, True)
+    assert near.near_pairs(found, inside, forest=True).count() < len(rows) < near.near_pairs(found, inside).count()
+
+
+def test_sketches_lose_no_pair():
+    rng = random.Random(8)
+    for n in (3, 40, 300, 1500):
+        base = [rng.getrandbits(64) for _ in range(n)]
+        rows = []
+        for k in range(30):
+            keep = rng.sample(base, n - n * k // 90)
+            rows.append(near.np.unique(near.np.array(keep + [rng.getrandbits(64) for _ in range(n * k // 90)], near.np.uint64)))
+        by = {}
+        for k, r in enumerate(rows):
+            by.setdefault(near.size_class(len(r), 0.8), []).append((near.node(r) + bytes(near.node(r)[:16]), r))
+        sets = {bytes(m[:16]): set(r.tolist()) for v in by.values() for m, r in v}
+        for q, v in by.items():
+            a = near.Tile([m for m, _ in v])
+            for p in (q, q + 1):
+                b = a if p == q else near.Tile([m for m, _ in by.get(p, [])]) if p in by else None
+                if b is None:
+                    continue
+                got = {(a.key[i].tobytes(), b.key[j].tobytes()) for i, j in zip(*near.candidates(a, b, 64, 0.8, p == q, False))}
+                for i in range(len(a.key)):
+                    for j in range(i + 1 if p == q else 0, len(b.key)):
+                        x, y = a.key[i].tobytes(), b.key[j].tobytes()
+                        if len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y]) and x != y:
+                            assert (x, y) in got
