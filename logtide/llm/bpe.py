@@ -29,9 +29,9 @@ LEAF = 4096
 #: Characters of a text that are one row's work; longer texts become rows of so many characters.
 SPREAD = 1 << 16
 #: Runs, and parts of runs, whose ids a worker remembers, and the longest that is remembered: together they bound its memory.
-REMEMBERED, LONGEST = 300_000, 48
+REMEMBERED, LONGEST = 400_000, 48
 #: Characters of texts that are worked on together, about.
-TOGETHER = 1 << 22
+TOGETHER = 1 << 23
 #: Runs that a piece dealt to another row keeps apart at each end, for the windows; two are enough for agreement.
 EDGE = 4
 _known: dict[str, Runs] = {}
@@ -39,6 +39,7 @@ _known: dict[str, Runs] = {}
 _RUN = re.compile("[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 #: A short run of signs that lower-casing and composition treat one by one.
 _WEST = re.compile(rf"[!-~\xa1-\u012f]{{1,{LONGEST}}}").fullmatch
+_STOPS = frozenset(".,;:!?)%")
 _SPACE = re.compile(_RUN.pattern.replace("[^", "["))
 
 
@@ -154,7 +155,7 @@ class Runs(dict):
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
         end = spec["model"].get("end_of_word_suffix")
         if kinds == ["NFC", "Replace", "Lowercase"] and [x.get("type") for x in steps] == ["Split", "ByteLevel"] and steps[0]["invert"] and steps[0]["behavior"] == "Removed" and end:
-            self.cut = regex.compile(steps[0]["pattern"]["Regex"] + "|\n")
+            self.cut = regex.compile(steps[0]["pattern"]["Regex"])
             self.bare = Tokenizer.from_file(path)
             self.bare.normalizer = None
             self.bare.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
@@ -172,9 +173,9 @@ class Runs(dict):
     def _letters(self, words: list[str]) -> dict[str, bytes]:
         """Ids of lower-case words of letters, many in one call: each ends with the only token that closes a word."""
         out = {}
-        for at in range(0, len(words), 500):
-            part = words[at : at + 500]
-            ids = np.array(self.bare.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        parts = [words[k : k + 500] for k in range(0, len(words), 500)]
+        for part, made in zip(parts, self.bare.encode_batch_fast([" ".join(x) for x in parts], add_special_tokens=False)):
+            ids = np.array(made.ids, "<u4")
             ends = np.flatnonzero(self.last[ids]) + 1
             if len(ends) != len(part):
                 out |= self._plain(part)
@@ -191,19 +192,20 @@ class Runs(dict):
         for r in runs:
             (easy if self.cut and _WEST(r) and "<|" not in r else hard).append(r)
         out = self._plain([r for r in hard if len(r) <= self.leaf]) | {r: self[r] for r in hard if len(r) > self.leaf}
-        if easy:
-            pieces = self.cut.findall("\n".join(easy).lower() + "\n")
-            fresh = set(pieces).difference(self.parts, "\n")
-            if len(self.parts) + len(fresh) > REMEMBERED:
-                self.parts = {"\n": b"\n"}
-                fresh = set(pieces).difference("\n")
-            letters = [x for x in fresh if x.isalpha()]
-            found = self._letters(letters) | self._plain([x for x in fresh if not x.isalpha()])
-            self.parts |= found | {"\n": b""}
-            ids, begin = list(map(self.parts.__getitem__, pieces)), 0
-            for word, end in zip(easy, [k for k, x in enumerate(pieces) if x == "\n"]):
-                out[word] = ids[begin] if end == begin + 1 else b"".join(ids[begin:end])
-                begin = end + 1
+        letters = list(filter(str.isalpha, easy))
+        ended = [r for r in easy if r[-1] in _STOPS and r[:-1].isalpha()]
+        other = set(easy).difference(letters, ended)
+        low, low_ended = list(map(str.lower, letters)), [r[:-1].lower() for r in ended]
+        cut = {r: self.cut.findall(r.lower()) for r in other}
+        need = set(low).union(low_ended, _STOPS if ended else (), *cut.values())
+        fresh = need.difference(self.parts)
+        if len(self.parts) + len(fresh) > REMEMBERED:
+            self.parts, fresh = {}, need
+        self.parts |= self._letters([x for x in fresh if x.isalpha()]) | self._plain([x for x in fresh if not x.isalpha()])
+        found = self.parts.__getitem__
+        out.update(zip(letters, map(found, low)))
+        out.update((r, found(x) + found(r[-1])) for r, x in zip(ended, low_ended))
+        out.update((r, b"".join(map(found, x))) for r, x in cut.items())
         return out
 
     def of(self, runs: list[str]) -> list[bytes]:
@@ -239,7 +241,8 @@ def _nodes(path: str, texts: list[str], leaf: int, all_nodes: bool = False) -> I
     parts = [[x[k : k + leaf] for k in range(0, len(x), leaf)] or [""] for x in texts]
     cut = _cut([p for x in parts for p in x])
     coded = cut.values.dictionary_encode()
-    words, codes, bounds = coded.dictionary.to_pylist(), coded.indices.to_numpy(), cut.offsets.to_numpy()
+    words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), "\n")[0].as_py().split("\n")
+    codes, bounds = coded.indices.to_numpy(), cut.offsets.to_numpy()
     ids = known.of(words)
     size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     each = size[codes]
