@@ -9,6 +9,7 @@ from logtide.llm import html
 from logtide.llm import rules
 from logtide.llm import licenses, packed, quality, suffix, toxicity
 from logtide.llm.simhash import simhash_components
+from logtide.llm.storage import written
 
 
 def op1_simhash(spark, sf_dir):
@@ -45,11 +46,21 @@ def op7_suffix_dedup(spark, sf_dir):
 
 
 def op8_quality_rules(spark, sf_dir):
-    rows = rules.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """From a stored ledger, as any later policy would be applied to it."""
+    rows = _ledger(spark, sf_dir)
     cols = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return rows.select(*cols, (~rules.passes("base")).alias("base_failed"), rules.passes("v1").alias("kept"), F.col("failed").alias("failed_bits"))
 
 
+def _ledger(spark, sf_dir):
+    return written(rules.ledger(spark.read.parquet(f"{sf_dir}/documents.parquet")), "ledger")
+
+
+def rule_ablations(spark, sf_dir):
+    """For each rule of the current policy: the documents that it fails, and those that it alone fails."""
+    return rules.ablations(_ledger(spark, sf_dir), "v1")
+
+
 def op9_licenses(spark, sf_dir):
     """Each document is the file source/lang/block/doc_id; ids of whole hundreds are licence files of source/lang.
 
@@ -69,5 +80,31 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, labels))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_token_files": op4_token_files, "op5_html": op5_html, "op6_decontamination": op6_decontamination, "op7_suffix_dedup": op7_suffix_dedup, "op8_quality_rules": op8_quality_rules, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {"op1_simhash": op1_simhash, "op2_bpe": op2_bpe, "op3_quality": op3_quality, "op4_token_files": op4_token_files, "op5_html": op5_html, "op6_decontamination": op6_decontamination, "op7_suffix_dedup": op7_suffix_dedup, "op8_quality_rules": op8_quality_rules, "op9_licenses": op9_licenses, "op10_toxicity": op10_toxicity, "rule_ablations": rule_ablations}
+
+_MEASURED = r"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(text, '[ \t\n\x0B\f\r]+'), lambda x: x <> '') AS ws,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^ \t\x0B\f\r]')) AS ls FROM d),
+t AS (SELECT rid, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS s FROM w, unnest(range(1, len(ws) - 1)) AS u(i)),
+c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, s) AS n FROM t),
+r AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM c WHERE n > 1) GROUP BY rid),
+m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+  length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  len(ls) AS n_lines, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters, len(list_distinct(ws)) AS n_distinct_words FROM w LEFT JOIN r USING (rid)),
+l AS (SELECT *, """ + " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(rules.RULES.values())) + " AS failed FROM m)"
+_V1 = rules.mask(rules.POLICIES["v1"])
+_WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": f"""WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce({_WORDS}, []) AS ws FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+k AS (SELECT item, least(13, len(ws)) AS size, i, ws FROM b, unnest(range(1, len(ws) - least(13, len(ws)) + 2)) AS u(i) WHERE len(ws) > 0),
+bw AS (SELECT DISTINCT item, size, array_to_string(ws[i : i + size - 1], ' ') AS s FROM k),
+dw AS (SELECT rid, i, size, array_to_string(ws[i : i + size - 1], ' ') AS s FROM (SELECT rid, ws, size, unnest(range(1, len(ws) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM bw) WHERE len(ws) >= size)),
+h AS (SELECT rid, i, size, item FROM dw JOIN bw USING (size, s)),
+hit AS (SELECT rid, count(DISTINCT p) AS n_hit FROM (SELECT rid, unnest(range(i, i + size)) AS p FROM (SELECT DISTINCT rid, i, size FROM h)) GROUP BY rid),
+own AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT rid, item FROM h) GROUP BY rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
+ coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN own USING (rid)""",
+    "op8_quality_rules": f"""{_MEASURED} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {rules.mask(rules.POLICIES["base"])} <> 0 AS base_failed, failed & {_V1} = 0 AS kept, CAST(failed AS BIGINT) AS failed_bits FROM l""",
+    "rule_ablations": f"{_MEASURED} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, CAST(count(*) FILTER (failed & {rules.mask((n,))} <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (failed & {_V1} = {rules.mask((n,))}) AS BIGINT) AS n_only FROM l" for n in rules.POLICIES["v1"]),
+}

@@ -20,7 +20,7 @@ RULES: dict[str, str] = {
     "duplicate_lines": "100 * n_dup_lines > 50 * n_lines",
     "upper_case": "100 * n_upper > 60 * n_letters",
     "word_length": "word_chars < 2 * n_words OR word_chars > 20 * n_words",
-    "word_variety": "n_words >= 100 AND n_words < 2000 AND 100 * n_distinct_words < 15 * n_words",
+    "word_variety": "n_distinct_words * n_distinct_words < 4 * n_words",  # distinct words grow like the root of a text's length
 }
 #: Version to the rules that reject.
 POLICIES: dict[str, tuple[str, ...]] = {
