@@ -3,8 +3,10 @@
 Every start of a ``length``-byte string belongs to the least hash of the 32-byte grams inside it, so equal strings meet
 under one hash. Runs of starts with one such gram are slices. Only slices of hashes that occur twice go on, equal slices
 as one, cut into pieces by the place of the gram. Pieces with the bytes around it in common meet, and a suffix order
-over a batch of them gives, through previous and next smaller positions, the longest match that starts earlier; the
-mirrored pass gives the longest that starts later.
+over a batch of them gives, through previous and next smaller positions, the longest factor that starts earlier; the
+mirrored pass gives the longest that starts later. Where more than ``PIECES`` different slices share a hash, pieces are
+cut down to one start: the bytes in common are then the whole string, so equal pieces are one row with their number and
+first place, and no suffix order grows with the group.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.storage import written
+from logtide.llm.storage import dropped, written
 
 GRAM = 32
 LENGTH = 200
@@ -25,6 +27,10 @@ LENGTH = 200
 BATCH = 1 << 21
 #: Slices in one batch of rows, about.
 ROWS = 20_000
+#: Different slices of one hash that meet in a suffix order; with at most ``length - GRAM`` bytes around it, each adds little.
+PIECES = 4096
+#: Keys that many rows share are joined by broadcast: those with over ``HOT`` rows and over a ``HOT_KEYS``-th of all, so no more than ``HOT_KEYS``.
+HOT, HOT_KEYS = 1000, 20_000
 _ODD, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 31) - 1)
 
 
@@ -70,37 +76,34 @@ def pieces(part: bytes, n: int, o: int, length: int = LENGTH) -> list[tuple[int,
 
 
 def longest_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each of ``starts`` in ``data``: whether its ``length`` bytes also start at an earlier, at a later of them.
+    """For each of ``starts`` in ``data``, the longest match, up to ``length`` bytes, with an earlier and with a later one of them.
 
     Suffix order by prefix doubling up to ``length``; then the previous and next smaller positions in that order, found
-    by pointer jumping, hold the longest earlier match, and the larger ones the longest later match.
+    by pointer jumping, hold the longest earlier match, and the larger ones the longest later match. The ranks of the
+    doubling steps give the length of a match by halving.
     """
     n = len(data)
-    depth = min(4, length)
     at = np.arange(n)
-    rank = np.zeros(n, np.int64)
-    for k in range(depth):
-        rank = rank * 257
-        rank[: n - k] += data[k:].astype(np.int64) + 1
+    room = np.zeros(2 * length, np.int32)
 
     def ranked(x: np.ndarray) -> np.ndarray:
-        return np.unique(x, return_inverse=True)[1].astype(np.int64) + 1
+        return np.unique(x, return_inverse=True)[1].astype(np.int32) + 1
 
     def pair(r: np.ndarray, gap: int, of: np.ndarray) -> np.ndarray:
-        second = np.r_[r, np.zeros(gap, np.int64)][of + gap]
-        return ranked(r[of] * (n + 1) + second)
-
-    rank = ranked(rank)
-    while 2 * depth < length:
-        rank, depth = pair(rank, depth, at), 2 * depth
-    final = pair(rank, length - depth, starts) if depth < length else rank[starts]
-    by = np.lexsort((starts, final))
-    order, kind = starts[by], final[by]
+        return ranked(r[of].astype(np.int64) * (n + 257) + r[of + gap])
+
+    levels = [(1, np.r_[data.astype(np.int32) + 1, room])]  # each with zeros behind, smaller than any rank
+    while 2 * levels[-1][0] <= length:
+        depth, r = levels[-1]
+        levels.append((2 * depth, np.r_[pair(r, depth, at), room]))
+    depth, r = levels[-1]
+    final = pair(r, length - depth, starts) if depth < length else r[starts]
+    order = starts[np.lexsort((starts, final))]
     place = np.empty(n, np.int64)
     place[order] = at[: len(order)]
 
     def nearest(keys: np.ndarray, step: int) -> np.ndarray:
-        """Index of the nearest entry to the left (-1) or right (1) with a smaller key; -1 or len if none."""
+        """Index of the nearest entry to the left (-1) or right (1) with a smaller key; len if none."""
         m = len(keys)
         k = np.r_[keys, -(1 << 60)]
         to = np.arange(m) + step
@@ -109,12 +112,19 @@ def longest_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[
             to[more] = np.r_[to, m][to[more]]
         return to
 
-    k = np.r_[kind, -1]
-    earlier = np.zeros(len(order), bool)
-    later = np.zeros(len(order), bool)
-    for step in (-1, 1):
-        earlier |= k[nearest(order, step)] == kind
-        later |= k[nearest(-order, step)] == kind
+    def match(to: np.ndarray) -> np.ndarray:
+        """Bytes that each start in ``order`` has in common with the entry ``to``."""
+        some = np.flatnonzero(to < len(order))
+        a, b = order[some], order[to[some]]
+        same = np.zeros(len(some), np.int64)
+        for depth, r in reversed(levels):
+            same += depth * (r[a + same] == r[b + same])
+        out = np.zeros(len(order), np.int64)
+        out[some] = np.minimum(same, length)
+        return out
+
+    earlier = np.maximum(*(match(nearest(order, step)) for step in (-1, 1)))
+    later = np.maximum(*(match(nearest(-order, step)) for step in (-1, 1)))
     back = place[starts]
     return earlier[back], later[back]
 
@@ -129,17 +139,31 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                 ends = (lo + size + length - 1).tolist()
                 own = np.fromiter((xxhash.xxh3_64_intdigest(data[i:j]) for i, j in zip(lo.tolist(), ends)), np.uint64, len(lo))
                 row.append(np.full(len(lo), k))
-                cols.append((mins.view(np.int64), own.view(np.int64), lo.astype(np.int32), size.astype(np.int32), o.astype(np.int32)))
+                cols.append((mins.view(np.int64), own.view(np.int64), lo << 32 | size << 16 | o))
                 held += len(lo)
                 if held >= ROWS or k + 1 == len(batch):
                     same = batch.select(["id", "th"]).take(pa.array(np.concatenate(row)))
-                    yield pa.RecordBatch.from_arrays([*same.columns, *(pa.array(np.concatenate(c)) for c in zip(*cols))], ["id", "th", "m", "s", "lo", "n", "o"])
+                    yield pa.RecordBatch.from_arrays([*same.columns, *(pa.array(np.concatenate(c)) for c in zip(*cols))], ["id", "th", "m", "s", "w"])
                     row, cols, held = [], [], 0
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, m long, s long, lo int, n int, o int")
+    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, m long, s long, w long")
 
 
-def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_first: bool = True) -> DataFrame:
+#: Parts of ``w``: first start, number of starts and the gram's offset of a slice.
+_LO, _N, _O = "int(shiftright(w, 32))", "int(shiftright(w, 16) & 65535)", "int(w & 65535)"
+
+
+def met_by(rows: DataFrame, facts: DataFrame, on: list[str], many: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with ``facts``, a row for each key; ``many`` is the number of rows of the key among ``total``.
+
+    Keys that very many rows share go by broadcast: their numbers add up to ``total`` at most, so they are few.
+    """
+    most = max(HOT, total // HOT_KEYS)
+    hot, cold = F.broadcast(facts.where(F.col(many) > most)), facts.where(F.col(many) <= most)
+    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on))
+
+
+def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_first: bool = True, most: int = PIECES) -> DataFrame:
     """``(id, th, spans)``: byte ranges to remove from each text that has any; th is the text's XXH64.
 
     A ``length``-byte string goes if it also starts earlier (in the order of id, th, place), or with ``keep_first`` false,
@@ -147,22 +171,30 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text"))
     base = base.withColumn("th", F.xxhash64("text")).where(F.octet_length("text") >= length)
+    kind = dict(base.dtypes)["id"]
     anchors = written(_anchors(base, length), "anchors")
-    twice = anchors.groupBy("m").agg(F.count("*").alias("c"), F.min("s").alias("s0"), F.max("s").alias("s1")).where("c > 1")
-    met = written(anchors.join(twice.select("m", (F.col("s0") != F.col("s1")).alias("mixed")), "m"), "repeats")
-    kinds = written(met.groupBy("m", "s").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "lo", "n", "o")).alias("one"), F.first("mixed").alias("mixed")), "slices")
-    wanted = kinds.where("mixed").select("one.id", "one.th", F.struct("m", "s", "one.lo", "one.n", "one.o").alias("w")).groupBy("id", "th").agg(F.collect_list("w").alias("w"))
-    texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"]) & (base["th"] == wanted["th"])).select(wanted["id"], wanted["th"], "text", F.explode("w").alias("w"))
-    parts = texts.select("w.m", "w.s", "id", "th", "w.lo", "w.n", "w.o", F.expr(f"substring(text, w.lo + 1, w.n + {length - 1})").alias("part"))
+    twice = written(anchors.groupBy("m").agg(F.count("*").alias("c")).where("c > 1"), "twice")
+    met = written(met_by(anchors, twice, ["m"], "c", anchors.count()).drop("c"), "repeats")
+    dropped(anchors), dropped(twice)
+    slices_ = written(met.groupBy("m", "s").agg(F.count("*").alias("c"), F.min(F.struct("id", "th", "w")).alias("one")), "slices")
+    kinds = written(slices_.groupBy("m").agg(F.count("*").alias("k")).where("k > 1"), "kinds")
+    wanted = met_by(slices_.select("m", "s", "one"), kinds, ["m"], "k", slices_.count()).select("one.id", "one.th", F.struct("m", "s", "one.w", (F.col("k") > most).alias("fine")).alias("x"))
+    wanted = wanted.groupBy("id", "th").agg(F.collect_list("x").alias("x"))  # bounded by a text's slices
+    texts = base.join(wanted, base["id"].eqNullSafe(wanted["id"]) & (base["th"] == wanted["th"])).select(wanted["id"], wanted["th"], "text", F.explode("x").alias("x"))
+    parts = texts.select("id", "th", "text", "x.*").selectExpr("m", "s", "id", "th", f"{_LO} AS lo", f"{_N} AS n", f"{_O} AS o", "fine", f"substring(text, {_LO} + 1, {_N} + {length - 1}) AS part")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             row, core, first, size, part = [], [], [], [], []
-            for k, (lo, n, o, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lo", "n", "o", "part")))):
+            for k, (lo, n, o, fine, data) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("lo", "n", "o", "fine", "part")))):
+                if fine:
+                    for f in range(n):
+                        row.append(k), core.append(xxhash.xxh3_128_digest(data[f : f + length])), first.append(f), size.append(1), part.append(None)
+                    continue
                 for c, f, many in pieces(data, n, o, length):
-                    row.append(k), core.append(c), first.append(f), size.append(many), part.append(data[f : f + many + length - 1])
+                    row.append(k), core.append(c.to_bytes(8, "big", signed=True)), first.append(f), size.append(many), part.append(data[f : f + many + length - 1])
             same = batch.select(["m", "s", "id", "th", "lo"]).take(pa.array(row, pa.int64()))
-            more = [pa.array(core, pa.int64()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(part, pa.binary())]
+            more = [pa.array(core, pa.binary()), pa.array(first, pa.int32()), pa.array(size, pa.int32()), pa.array(part, pa.binary())]
             yield pa.RecordBatch.from_arrays([*same.columns, *more], [*same.schema.names, "core", "first", "n", "part"])
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +204,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             bounds = np.cumsum([0] + [r[3] for r in rows])
             starts = np.arange(bounds[-1]) + np.repeat(begin[:-1] - bounds[:-1], np.diff(bounds))
             earlier, later = longest_factors(text, starts, length)
-            hit = earlier if keep_first else earlier | later
+            hit = (earlier if keep_first else np.maximum(earlier, later)) >= length
             out = [(*r[:4], np.packbits(hit[i:j]).tobytes()) for r, i, j in zip(rows, bounds, bounds[1:]) if hit[i:j].any()]
             return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))], ["m", "s", "first", "n", "bits"])
 
@@ -193,19 +225,33 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         if rows:
             yield solve(rows)
 
-    cores = parts.mapInArrow(cut, f"m long, s long, id {dict(docs.dtypes)[id_col]}, th long, lo int, core long, first int, n int, part binary")
-    ordered = cores.repartition("core").sortWithinPartitions("core", F.col("id").asc_nulls_first(), "th", F.col("lo") + F.col("first"))
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [np.array(x) for x in batch.column(2).to_pylist()]
+            bits = [np.packbits(np.bincount(x, minlength=x.max() + 1).astype(bool)).tobytes() for x in at]
+            out = [pa.array([0] * len(at), pa.int32()), pa.array([int(x.max()) + 1 for x in at], pa.int32()), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *out], ["m", "s", "first", "n", "bits"])
+
+    cores = written(parts.mapInArrow(cut, f"m long, s long, id {kind}, th long, lo int, core binary, first int, n int, part binary"), "pieces")
+    whole = cores.where("part IS NOT NULL")
+    ordered = whole.repartition("core").sortWithinPartitions("core", F.col("id").asc_nulls_first(), "th", F.col("lo") + F.col("first"))
     bits = ordered.select("core", "m", "s", "first", "n", "part").mapInArrow(order, "m long, s long, first int, n int, bits binary")
-    bits = bits.groupBy("m", "s").agg(F.collect_list(F.struct("first", "n", "bits")).alias("bits"))
-    first = F.col("one.id").eqNullSafe(F.col("id")) & (F.col("one.th") == F.col("th")) & (F.col("one.lo") == F.col("lo"))
-    facts = kinds.select("m", "s", "c", "one").join(bits, ["m", "s"], "left")
-    whole = (~first) if keep_first else (F.col("c") > 1)
-    hits = met.select("id", "th", "m", "s", "lo", "n").join(facts, ["m", "s"]).withColumn("whole", whole).where("whole OR bits IS NOT NULL")
+    fine = cores.where("part IS NULL").select("core", "m", "s", "first", F.struct("id", "th", (F.col("lo") + F.col("first")).alias("at")).alias("place")).distinct()
+    equal = written(fine.groupBy("core").agg(F.count("*").alias("k"), F.min("place").alias("least")).where("k > 1"), "equal")
+    hit = met_by(fine, equal, ["core"], "k", equal.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0])
+    hit = hit.where("place > least") if keep_first else hit
+    fine_bits = hit.groupBy("m", "s").agg(F.collect_list("first").alias("at")).mapInArrow(told, "m long, s long, first int, n int, bits binary")
+    bits = bits.unionByName(fine_bits).groupBy("m", "s").agg(F.collect_list(F.struct("first", "n", "bits")).alias("bits"))
+    facts = written(slices_.join(bits, ["m", "s"], "left").where("c > 1 OR bits IS NOT NULL"), "facts")
+    dropped(cores), dropped(equal), dropped(slices_), dropped(kinds)
+    first = F.col("one.id").eqNullSafe(F.col("id")) & (F.col("one.th") == F.col("th")) & (F.col("one.w") == F.col("w"))
+    everything = (~first) if keep_first else (F.col("c") > 1)
+    hits = met_by(met, facts, ["m", "s"], "c", met.count()).withColumn("whole", everything).where("whole OR bits IS NOT NULL")
+    hits = hits.select("id", "th", "whole", "bits", F.expr(_LO).alias("lo"), F.expr(_N).alias("n"))
     span = lambda lo, n, bits: F.struct(lo.alias("lo"), n.alias("n"), bits.alias("bits"))
     all_of = F.array(span(F.col("lo"), F.col("n"), F.lit(None).cast("binary")))
     some_of = F.transform("bits", lambda x: span(F.col("lo") + x["first"], x["n"], x["bits"]))
-    marks = hits.select("id", "th", F.explode(F.when(F.col("whole"), all_of).otherwise(some_of)).alias("x")).groupBy("id", "th").agg(F.collect_set("x").alias("spans"))
-    return marks
+    return hits.select("id", "th", F.explode(F.when(F.col("whole"), all_of).otherwise(some_of)).alias("x")).groupBy("id", "th").agg(F.collect_set("x").alias("spans"))
 
 
 def removed(data: bytes, spans: list[dict] | None, length: int = LENGTH) -> np.ndarray:
@@ -218,13 +264,13 @@ def removed(data: bytes, spans: list[dict] | None, length: int = LENGTH) -> np.n
     return np.cumsum(step[:-1]) > 0
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_first: bool = True) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_first: bool = True, most: int = PIECES) -> DataFrame:
     """One row for each input row: ``(id_col, th, n_bytes, n_removed, n_spans, kept binary)``; kept is what is left.
 
     Null and empty texts, and those shorter than ``length``, lose nothing. Rows with equal id and text are one in the
     order of ``keep_first`` and get the same result. An empty table gives an empty table; other columns are not read.
     """
-    spans = repeated_spans(docs, id_col, text_col, length, keep_first)
+    spans = repeated_spans(docs, id_col, text_col, length, keep_first, most)
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).cast("binary").alias("text")).withColumn("th", F.xxhash64("text"))
     both = base.join(spans, base["id"].eqNullSafe(spans["id"]) & (base["th"] == spans["th"]), "left").select(base["id"], base["th"], "text", "spans")
 
