@@ -29,7 +29,7 @@ LEAF = 4096
 #: Characters of a text that are one row's work; longer texts become rows of so many characters.
 SPREAD = 1 << 16
 #: Runs, and parts of runs, whose ids a worker remembers, and the longest that is remembered: together they bound its memory.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 600_000, 48
 #: Characters of texts that are worked on together, about.
 TOGETHER = 1 << 23
 #: Runs that a piece dealt to another row keeps apart at each end, for the windows; two are enough for agreement.

@@ -25,6 +25,24 @@ BLOCK, PERCENTILE = 1024, 95
 _HEAD = struct.Struct("<IHBH")  # least id, ids, width, exceptions
 
 
+def _bits(values: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bits of each value, one after the other."""
+    room = 2 if width <= 16 else 4
+    raw = values.astype(f"<u{room}").view(np.uint8)
+    if width == 8 * room:
+        return raw.tobytes()
+    return np.packbits(np.unpackbits(raw.reshape(-1, room), axis=1, bitorder="little")[:, :width], bitorder="little").tobytes()
+
+
+def _values(data: bytes, at: int, size: int, width: int) -> np.ndarray:
+    """``size`` values of ``width`` bits from byte ``at``: each lies within the eight bytes from where it begins."""
+    room = np.frombuffer(data, np.uint8, -(-size * width // 8), at)
+    room = np.concatenate([room, np.zeros(8, np.uint8)])
+    bit = np.arange(size, dtype=np.int64) * width
+    eight = np.ndarray(len(room) - 7, "<u8", room, strides=(1,))
+    return ((eight[bit >> 3] >> (bit & 7).astype(np.uint64)) & np.uint64((1 << width) - 1)).astype(np.uint32)
+
+
 def pack(ids: np.ndarray) -> bytes:
     """One document's record: number of blocks, their starts, then the blocks."""
     blocks = []
@@ -34,8 +52,7 @@ def pack(ids: np.ndarray) -> bytes:
         rest = (part - np.uint32(low)).astype(np.uint32)
         width = int(np.partition(rest, k := (len(rest) - 1) * PERCENTILE // 100)[k]).bit_length()
         odd = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.zeros(0, np.int64)
-        bits = np.unpackbits(rest.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little")[:, :width]
-        blocks.append(_HEAD.pack(low, len(part), width, len(odd)) + np.packbits(bits, bitorder="little").tobytes() + odd.astype("<u2").tobytes() + rest[odd].astype("<u4").tobytes())
+        blocks.append(_HEAD.pack(low, len(part), width, len(odd)) + _bits(rest, width) + odd.astype("<u2").tobytes() + rest[odd].astype("<u4").tobytes())
     starts = np.cumsum([0] + [len(b) for b in blocks[:-1]]) if blocks else []
     return struct.pack("<I", len(blocks)) + np.array(starts, "<u4").tobytes() + b"".join(blocks)
 
@@ -50,12 +67,8 @@ def unpack(record: bytes, begin: int = 0, end: int | None = None) -> np.ndarray:
         at = 4 + 4 * n + start
         low, size, width, odd = _HEAD.unpack_from(record, at)
         at += _HEAD.size
-        room = -(-size * width // 8)
-        bits = np.unpackbits(np.frombuffer(record, np.uint8, room, at), count=size * width, bitorder="little").reshape(size, width)
-        full = np.zeros((size, 32), np.uint8)
-        full[:, :width] = bits
-        ids = np.packbits(full, axis=1, bitorder="little").view("<u4").ravel().copy()
-        at += room
+        ids = _values(record, at, size, width)
+        at += -(-size * width // 8)
         ids[np.frombuffer(record, "<u2", odd, at)] = np.frombuffer(record, "<u4", odd, at + 2 * odd)
         out.append(ids + np.uint32(low))
     ids = np.concatenate(out) if out else np.zeros(0, np.uint32)
