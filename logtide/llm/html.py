@@ -1,7 +1,8 @@
 """Main text of web pages by two-pass block rules.
 
-Pass one classifies each block by itself from stop-word density, length, link density and the elements around it.
-Pass two gives short undecided blocks the label of the nearest decided blocks.
+Pass one classifies each block by itself from stop-word density, length, link density and the elements around it: dense
+blocks, and long ones of middling density, are text; long sparse ones outside an article are not; the others are
+undecided. Pass two gives undecided blocks, none of them long, the label of the nearest decided blocks.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ BLOCKS = set("address article aside blockquote body br center dd details div dl
 HIDDEN = set("script style noscript template head title iframe object svg select option button textarea".split())
 FURNITURE = set("nav footer aside form header menu dialog".split())
 NAMES = set("ad ads advert advertisement banner breadcrumb comment comments cookie disclaimer footer header menu nav navbar newsletter notice popup promo related share sidebar social sponsor widget".split())
+BESIDE = set("with without has no is not after before".split())
 STOP = set("the of and to in a is that for it was on are with by this be as at from or an le la de les des et un une du en que qui dans est pour par sur au pas der die und das den von zu mit sich ein eine ist im dem nicht auf el los y las se por con su para al lo como".split())
 #: All that can be in a head; any other element ends an open one, as its end tag is optional.
 IN_HEAD = set("base basefont bgsound link meta noframes noscript script style template title".split())
@@ -25,6 +27,12 @@ VOID = set("area base br col embed hr img input link meta source track wbr".spli
 SHORT, LONG, LINKS, DENSE, THIN = 70, 200, 0.5, 0.2, 0.1
 
 
+def _names(tokens: str) -> set[str]:
+    """Words of an element's names; a name like ``with-sidebar`` says what stands beside the element, not what it is."""
+    parts = [t.replace("_", "-").split("-") for t in tokens.lower().split()]
+    return {w for p in parts if p[0] not in BESIDE for w in p}
+
+
 class _Blocks(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -36,7 +44,9 @@ class _Blocks(HTMLParser):
     def cut(self) -> None:
         text = " ".join("".join(self.text).split())
         if text:
-            self.blocks.append({"text": text, "links": self.linked / len(text), "bad": any(b for _, b, _ in self.stack), "main": any(m for _, _, m in self.stack)})
+            last = max((k for k, (_, _, m) in enumerate(self.stack) if m), default=-1)
+            inside = any(b for _, b, _ in self.stack[last + 1 :])
+            self.blocks.append({"text": text, "links": self.linked / len(text), "bad": any(b for _, b, _ in self.stack), "inside": inside, "main": last >= 0})
         self.text, self.linked = [], 0
 
     def end_head(self, tag: str | None) -> None:
@@ -59,9 +69,9 @@ class _Blocks(HTMLParser):
                 if self.stack[k][0] in BLOCKS:
                     break
         if tag not in VOID:
-            names = " ".join(v or "" for k, v in attrs if k in ("class", "id", "role")).lower().replace("-", " ").replace("_", " ").split()
+            names = _names(" ".join(v or "" for k, v in attrs if k in ("class", "id", "role")))
             main = tag in ("article", "main")
-            self.stack.append((tag, (tag in FURNITURE and not (tag == "header" and any(m for _, _, m in self.stack))) or (not main and tag != "body" and bool(NAMES & set(names))), main))
+            self.stack.append((tag, (tag in FURNITURE and not (tag == "header" and any(m for _, _, m in self.stack))) or (not main and tag != "body" and bool(NAMES & names)), main))
 
     def handle_endtag(self, tag):
         if tag in BLOCKS:
@@ -99,19 +109,25 @@ def extract(html: str | None) -> str:
     parser.close()
     parser.cut()
     blocks = parser.blocks
+    if any(b["main"] for b in blocks) and not any(b["main"] and not b["bad"] for b in blocks):
+        for b in blocks:  # names around the only article say nothing about it
+            b["bad"] = b["inside"] or not b["main"]
     within = any(b["main"] for b in blocks)
     labels: list[bool | None] = []
     for b in blocks:
         words = b["text"].lower().split()
         dense = sum(w.strip(".,;:!?") in STOP for w in words) / len(words)
+        size = len(b["text"])
         if b["bad"] or (b["links"] > LINKS and not b["main"]) or (within and not b["main"]):
             labels.append(False)
-        elif len(b["text"]) < SHORT or b["links"] > LINKS:  # in an article links alone decide nothing
+        elif size < SHORT or b["links"] > LINKS:  # in an article links alone decide nothing
             labels.append(None)
-        elif dense >= DENSE or (b["main"] and len(b["text"]) >= LONG) or dense >= THIN:
+        elif dense >= DENSE or (size >= LONG and (dense >= THIN or b["main"])):
             labels.append(True)
-        else:
+        elif dense >= THIN or size < LONG:
             labels.append(None)
+        else:
+            labels.append(False)
     last, following = _decided(blocks, labels), _decided(blocks[::-1], labels[::-1])[::-1]
     kept = []
     for k, label in enumerate(labels):
@@ -124,7 +140,11 @@ def extract(html: str | None) -> str:
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """``(id_col, url_col, text, n_chars)``; null or empty pages give an empty text; repeated rows stay."""
+    """``(id_col, url_col, text, n_chars)``, one row for each input row.
+
+    Null or empty pages give an empty text; null ids and addresses and repeated rows stay; very long pages are read
+    whole; an empty table gives an empty table; other columns are not read and may have any name.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
