@@ -7,18 +7,26 @@ test and a direct comparison confirm each occurrence.
 
 from __future__ import annotations
 
-from collections import defaultdict
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Bytes of benchmark text in one set of search tables. More text means more passes, not larger tables.
-SHARD_BYTES = 16 << 20
+from logtide.llm.storage import written
+
+#: Bytes of benchmark text in one set of search tables, which take six times as much or less. More text means more passes, not larger tables.
+SHARD_BYTES = 8 << 20
+#: Words of an item in one part; longer items are cut into parts that overlap by a window.
+PART = 4096
 _KEPT = set(range(0x30, 0x3A)) | set(range(0x61, 0x7B)) | set(range(0x80, 0x100))
 _TABLE = bytes(b + 32 if 0x41 <= b <= 0x5A else b if b in _KEPT else 0x20 for b in range(256))
+_LOW = (1 << 32) - 1
+_digest = xxhash.xxh3_64_intdigest
 
 
 def words_of(data: bytes | None) -> list[bytes]:
@@ -27,43 +35,62 @@ def words_of(data: bytes | None) -> list[bytes]:
 
 
 class WuManber:
-    """Search tables for ``items`` = [(item id, words)] cut into windows of ``width`` words."""
+    """Search tables for ``items`` = [(item id, words)] cut into windows of ``width`` words.
+
+    Flat arrays: the text once, where its words begin, and for each window size the shift of each block's hash, and
+    the windows ordered by the hashes of their last block and first word.
+    """
 
     def __init__(self, items: list[tuple[str, list[bytes]]], width: int = 13):
-        windows: dict[tuple[bytes, ...], set[str]] = defaultdict(set)
-        for name, words in items:
-            for k in range(max(1, len(words) - width + 1) if words else 0):
-                windows[tuple(words[k : k + width])].add(name)
-        self.owners = {w: sorted(v) for w, v in windows.items()}
+        items = [(name, words) for name, words in items if words]
+        flat = [w for _, words in items for w in words]
+        size = np.array([len(words) for _, words in items], np.int64)
+        self.names, self.firsts = [name for name, _ in items], array("q", (np.cumsum(size) - size).tolist())
+        self.text = b" ".join(flat)
+        length = np.fromiter(map(len, flat), np.int64, len(flat)) + 1
+        self.begin = array("q", np.r_[0, np.cumsum(length)].tolist())
+        one = np.fromiter(map(_digest, flat), np.uint64, len(flat))
+        two = np.fromiter((_digest(a + b" " + b) for a, b in zip(flat, flat[1:])), np.uint64, max(len(flat) - 1, 0))
+        first = np.array(self.firsts, np.int64)
         self.classes = []
-        for size in sorted({len(w) for w in windows}):
-            block = min(2, size)
-            shift: dict[tuple[bytes, ...], int] = {}
-            ends: dict[tuple[bytes, ...], dict[bytes, list[tuple[bytes, ...]]]] = defaultdict(lambda: defaultdict(list))
-            for w in windows:
-                if len(w) == size:
-                    for end in range(block, size + 1):
-                        key = w[end - block : end]
-                        shift[key] = min(shift.get(key, size), size - end)
-                    ends[w[-block:]][w[0]].append(w)
-            self.classes.append((size, block, shift, {k: dict(v) for k, v in ends.items()}))
-
-    def find(self, words: list[bytes]) -> Iterator[tuple[int, tuple[bytes, ...]]]:
-        """(start, window) of every occurrence."""
-        n = len(words)
-        for size, block, shift, ends in self.classes:
-            skip, at = size - block + 1, size
+        for k in sorted({int(n) for n in np.minimum(size, width)}):
+            own = np.minimum(size, width) == k
+            many = (size - k + 1)[own]
+            starts = np.repeat(first[own], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            block = min(2, k)
+            keys, bits = (one if block == 1 else two), max(8, int(4 * len(starts)).bit_length())
+            shift = np.full(1 << bits, k - block + 1, np.uint8)
+            for end in range(block, k + 1):  # the shifts fall, so the last that is set is the least
+                shift[(keys[starts + end - block] & np.uint64((1 << bits) - 1)).astype(np.int64)] = k - end
+            full = (keys[starts + k - block] & ~np.uint64(_LOW)) | (one[starts] & np.uint64(_LOW))
+            order = np.argsort(full, kind="stable")
+            self.classes.append((k, block, shift.tobytes(), (1 << bits) - 1, array("Q", full[order].tobytes()), array("q", starts[order].tobytes())))
+
+    def find(self, words: list[bytes]) -> Iterator[tuple[int, int, int]]:
+        """(start, words, place in the tables) of every occurrence of a window."""
+        n, begin = len(words), self.begin
+        for size, block, shift, mask, keys, starts in self.classes:
+            at = size
             while at <= n:
-                key = tuple(words[at - block : at])
-                step = shift.get(key, skip)
+                key = _digest(words[at - 1] if block == 1 else words[at - 2] + b" " + words[at - 1])
+                step = shift[key & mask]
                 if step:
                     at += step
                     continue
-                for w in ends[key].get(words[at - size], ()):
-                    if w == tuple(words[at - size : at]):
-                        yield at - size, w
+                key = (key & ~_LOW) | (_digest(words[at - size]) & _LOW)
+                k = bisect_left(keys, key)
+                if k < len(keys) and keys[k] == key:
+                    found = b" ".join(words[at - size : at])
+                    while k < len(keys) and keys[k] == key:
+                        s = starts[k]
+                        if self.text[begin[s] : begin[s + size] - 1] == found:
+                            yield at - size, size, s
+                        k += 1
                 at += 1
 
+    def owner(self, place: int) -> str:
+        return self.names[bisect_right(self.firsts, place) - 1]
+
 
 def contamination(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
@@ -71,19 +98,32 @@ def contamination(
 ) -> DataFrame:
     """``(id_col, n_words, hits, items)``: hits is a packed bitmap of the words inside occurrences, items the sorted ids.
 
-    The benchmark is dealt by item to shards of ``shard_bytes`` or less on average; each shard's tables travel to the
-    tasks of one pass, and passes chain without a shuffle. Null and empty texts have no words, items without words no
-    windows; an empty benchmark hits nothing; repeated rows stay; other columns are not read and may have any name.
+    The benchmark is cut into parts of ``PART`` words, overlapping by a window, and these are dealt to shards, twice as
+    many until none holds more than ``shard_bytes``; each shard's tables travel to the tasks of one pass, and passes
+    chain without a shuffle. Items without an id are not searched for. Null and empty texts have no words, items
+    without words no windows; an empty benchmark hits nothing; repeated rows stay; very long texts are searched whole;
+    other columns are not read and may have any name.
     """
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).cast("binary").alias("text")).where("item IS NOT NULL")
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shards = max(1, -(-total // shard_bytes))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                parts = [words[k : k + PART + width - 1] for k in range(0, max(1, len(words) - width + 1), PART)]
+                yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts)), pa.array(list(range(len(parts))), pa.int32()), pa.array([b" ".join(p) for p in parts], pa.binary())], ["item", "part", "text"])
+
+    parts = written(items.mapInArrow(cut, "item string, part int, text binary"), "benchmark-parts")
+    shards = max(1, -(-parts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // shard_bytes))
+    deal = lambda n: F.pmod(F.xxhash64("item", "part"), F.lit(n))
+    while shards > 1 and parts.groupBy(deal(shards)).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] > 2 * shard_bytes:
+        shards *= 2
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     schema = f"id {dict(chosen.dtypes)['id']}, text binary, n_words long, hits binary, items array<string>"
     out = chosen.select("*", F.lit(0).cast("long").alias("n_words"), F.lit(b"").alias("hits"), F.array().cast("array<string>").alias("items"))
     for shard in range(shards):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(shards)) == shard).collect()  # bounded by shard_bytes
-        tables = WuManber([(r.item, words_of(bytes(r.text) if r.text is not None else None)) for r in part], width)
+        part = parts.where(deal(shards) == shard).collect()  # bounded by twice shard_bytes
+        tables = WuManber([(r.item, bytes(r.text).split()) for r in part], width)
         shared = docs.sparkSession.sparkContext.broadcast(tables)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -95,9 +135,9 @@ def contamination(
                     old = hits.as_py()
                     hit = np.zeros(len(words), bool) if not old else np.unpackbits(np.frombuffer(old, np.uint8), count=len(words)).astype(bool)
                     found = set(names.as_py())
-                    for at, w in search.find(words):
-                        hit[at : at + len(w)] = True
-                        found.update(search.owners[w])
+                    for at, size, place in search.find(words):
+                        hit[at : at + size] = True
+                        found.add(search.owner(place))
                     rows.append((len(words), np.packbits(hit).tobytes() if hit.any() else b"", sorted(found)))
                 n, h, i = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(i, pa.list_(pa.string()))], ["id", "text", "n_words", "hits", "items"])
