@@ -4,7 +4,7 @@ from datetime import datetime
 
 from pyspark.sql import functions as F
 
-from logtide.operators import attributes, tables
+from logtide.operators import attributes, logs, tables
 
 _D = "CAST(sum(CAST({0} AS DECIMAL(18,4))) AS DOUBLE)"
 
@@ -33,7 +33,9 @@ STATEMENTS = {
     "topk_offset": ("orders", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC NULLS LAST, o_orderkey LIMIT 50 OFFSET 10", None),
     "set_union": ("customer supplier", "SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
     "set_intersect": ("customer orders", "SELECT c_custkey AS k FROM customer INTERSECT SELECT o_custkey FROM orders", None),
-    "set_except": ("customer orders", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders", None),
+    "set_except": ("customer orders", "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderkey % 5 = 0", None),
+    "join_theta": ("nation supplier", "SELECT n_name, count(*) AS n FROM nation JOIN supplier ON s_nationkey > n_nationkey AND s_acctbal > 100 * n_nationkey GROUP BY n_name", None),
+    "cte_recursive": ("orders", "WITH RECURSIVE m(k) AS (SELECT 1 UNION ALL SELECT k + 1 FROM m WHERE k < 12) SELECT k, count(o_orderkey) AS n FROM m LEFT JOIN orders ON extract(MONTH FROM o_orderdate) = k GROUP BY k", None),
     "cte": ("orders", "WITH big AS (SELECT o_custkey, max(o_totalprice) AS top FROM orders GROUP BY o_custkey) SELECT count(*) AS n FROM orders o JOIN big b ON o.o_custkey = b.o_custkey AND o.o_totalprice = b.top", None),
     "dedupe": ("events", "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events) WHERE rn = 1", "SELECT DISTINCT ON (user_id, event_type) user_id, event_type, event_id FROM events ORDER BY user_id, event_type, ts, event_id"),
     "pivot": ("events", "SELECT * FROM (SELECT user_id, event_type FROM events) PIVOT (count(event_type) FOR event_type IN ('click' AS click, 'error' AS error, 'view' AS view))", "SELECT user_id, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'error') AS error, count(*) FILTER (event_type = 'view') AS view FROM events GROUP BY user_id"),
@@ -49,31 +51,54 @@ STATEMENTS = {
 
 def _run(names: str, text: str):
     def query(spark, d):
-        return spark.sql(_named(text, names), **{n: spark.read.parquet(f"{d}/{n}.parquet") for n in names.split()})
+        return logs.sql(spark, text, streams={n: spark.read.parquet(f"{d}/{n}.parquet") for n in names.split()})
 
     return query
 
 
-def _named(text: str, names: str) -> str:
-    """Table names after FROM, JOIN and commas become arguments of ``spark.sql``, so that no view is left behind."""
-    for n in names.split():
-        for lead in ("FROM ", "JOIN "):
-            text = text.replace(f"{lead}{n} ", f"{lead}{{{n}}} ").replace(f"{lead}{n})", f"{lead}{{{n}}})")
-            if text.endswith(f"{lead}{n}"):
-                text = text[: -len(n)] + f"{{{n}}}"
-    return text
-
-
-def _map():
-    return F.from_json("props", "map<string,string>").alias("attributes")
+def _maps(spark, d):
+    """Attributes of every kind: in all rows, in some, in few, of mixed types, and one named like a column."""
+    n, text = F.col("event_id"), lambda c: c.cast("string")
+    every = F.create_map(F.lit("k"), F.get_json_object("props", "$.k"), F.lit("ratio"), text(n / 4), F.lit("even"), text(n % 2 == 0), F.lit("event_id"), F.lit("own"))
+    half = F.create_map(F.lit("big"), text(n * 3000000000), F.lit("mixed"), F.when(n % 4 == 0, "a\"b").otherwise("7"))
+    few = F.create_map(F.lit("rare"), text(n))
+    none = F.create_map().cast("map<string,string>")
+    parts = F.map_concat(every, F.when(n % 2 == 0, half).otherwise(none), F.when(n % 50 == 0, few).otherwise(none))
+    return spark.read.parquet(f"{d}/events.parquet").select("event_id", parts.alias("attributes"))
 
 
 def _census(spark, d):
-    return attributes.census(spark.read.parquet(f"{d}/events.parquet").select(_map()))
+    df = _maps(spark, d)
+    return attributes.resolve(attributes.census(df), df.count())
 
 
 def _promoted(spark, d):
-    return attributes.promote(spark.read.parquet(f"{d}/events.parquet").select("event_id", _map()), [("k", "int")])
+    df = _maps(spark, d)
+    return attributes.promote(df, attributes.promoted(attributes.census(df), df.count()))
+
+
+def _unpacked(spark, d):
+    """Every key and value out of promoted columns and overflow again."""
+    rows = attributes.unpacked(_promoted(spark, d), ["event_id"])
+    return rows.select("event_id", F.explode("attributes").alias("key", "value")).groupBy("key").agg(F.count("value").alias("n"), F.sum(F.length("value")).alias("size"))
+
+
+def _aligned(spark, d):
+    """Promoted rows under the schema of an earlier file."""
+    return attributes.align(_promoted(spark, d), {"event_id": "bigint", "k": "bigint", "gone": "double"}).select("event_id", "k", "gone", attributes.meta_value("rare").alias("rare"), attributes.meta_value("mixed").alias("mixed"))
+
+
+def _widened(spark, d):
+    """Int, bigint and text under one name."""
+    e = spark.read.parquet(f"{d}/events.parquet")
+    return tables.union_widening([
+        e.where("event_id % 3 = 0").select("event_id", F.col("user_id").cast("int").alias("x")), e.where("event_id % 3 = 1").select("event_id", F.col("user_id").alias("x"), "value"),
+        e.where("event_id % 3 = 2").select("event_id", F.col("event_type").alias("x")),
+    ])
+
+
+def _approximate(spark, d):
+    return spark.read.parquet(f"{d}/events.parquet").groupBy("event_type").agg(F.approx_count_distinct("user_id").alias("users"), F.percentile_approx("value", 0.5).alias("median"))
 
 
 def _union_by_name(spark, d):
@@ -82,9 +107,20 @@ def _union_by_name(spark, d):
     return tables.hot_and_cold(e.where(F.col("ts") < noon).select("event_id", "value"), e.where(F.col("ts") >= noon).select("event_type", "event_id"))
 
 
-QUERIES = {k: _run(v[0], v[1]) for k, v in STATEMENTS.items()} | {"attribute_census": _census, "attribute_promotion": _promoted, "union_by_name": _union_by_name}
+QUERIES = {k: _run(v[0], v[1]) for k, v in STATEMENTS.items()} | {
+    "attribute_census": _census, "attribute_promotion": _promoted, "meta_unpack": _unpacked, "schema_align": _aligned, "union_by_name": _union_by_name, "union_by_name_widen": _widened, "agg_approximate": _approximate,
+}
+_KEYS = """SELECT 'k' AS key, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT 'ratio', CAST(event_id / 4 AS VARCHAR) FROM events
+ UNION ALL SELECT 'even', CAST(event_id % 2 = 0 AS VARCHAR) FROM events UNION ALL SELECT 'event_id', 'own' FROM events UNION ALL SELECT 'big', CAST(event_id * 3000000000 AS VARCHAR) FROM events WHERE event_id % 2 = 0
+ UNION ALL SELECT 'mixed', CASE WHEN event_id % 4 = 0 THEN 'a"b' ELSE '7' END FROM events WHERE event_id % 2 = 0 UNION ALL SELECT 'rare', CAST(event_id AS VARCHAR) FROM events WHERE event_id % 50 = 0"""
 ORACLE_SQL = {k: v[2] or v[1] for k, v in STATEMENTS.items()} | {
-    "attribute_census": "SELECT 'k' AS key, count(*) AS n, 'int' AS type FROM events WHERE json_exists(props, '$.k')",
-    "attribute_promotion": "SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, CAST(NULL AS VARCHAR) AS _meta FROM events",
+    "attribute_census": f"""WITH m AS ({_KEYS}) SELECT key, count(*) AS n, CASE key WHEN 'k' THEN 'int' WHEN 'ratio' THEN 'double' WHEN 'even' THEN 'boolean' WHEN 'big' THEN 'bigint' WHEN 'rare' THEN 'int' ELSE 'string' END AS type,
+ count(*) < 0.1 * (SELECT count(*) FROM events) AS overflow FROM m GROUP BY key""",
+    "attribute_promotion": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS INT) AS k, event_id / 4 AS ratio, event_id % 2 = 0 AS even, CASE WHEN event_id % 2 = 0 THEN event_id * 3000000000 END AS big,
+ CASE WHEN event_id % 4 = 0 THEN 'a"b' WHEN event_id % 2 = 0 THEN '7' END AS mixed, '{"event_id":"own"' || CASE WHEN event_id % 50 = 0 THEN ',"rare":' || event_id ELSE '' END || '}' AS _meta FROM events""",
+    "meta_unpack": f"WITH m AS ({_KEYS}) SELECT key, count(*) AS n, CAST(sum(length(value)) AS BIGINT) AS size FROM m GROUP BY key",
+    "schema_align": """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, CAST(NULL AS DOUBLE) AS gone, CASE WHEN event_id % 50 = 0 THEN CAST(event_id AS VARCHAR) END AS rare,
+ CASE WHEN event_id % 4 = 0 THEN 'a"b' WHEN event_id % 2 = 0 THEN '7' END AS mixed FROM events""",
+    "union_by_name_widen": "SELECT event_id, CASE WHEN event_id % 3 = 2 THEN event_type ELSE CAST(user_id AS VARCHAR) END AS x, CASE WHEN event_id % 3 = 1 THEN value END AS value FROM events",
     "union_by_name": "SELECT event_id, value FROM events WHERE ts < TIMESTAMP '2024-01-15' UNION ALL BY NAME SELECT event_type, event_id FROM events WHERE ts >= TIMESTAMP '2024-01-15'",
 }

@@ -3,9 +3,9 @@ import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
-from logtide.plans import catalog, sql
+from logtide.plans import catalog, sql, stored
 
-QUERIES, SQL = catalog.QUERIES | sql.QUERIES, catalog.ORACLE_SQL | sql.ORACLE_SQL
+QUERIES, SQL = catalog.QUERIES | sql.QUERIES | stored.QUERIES, catalog.ORACLE_SQL | sql.ORACLE_SQL | stored.ORACLE_SQL
 
 D = "/root/testdata/sf0.001"
 
@@ -15,7 +15,7 @@ def spark():
     return SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").config("spark.ui.enabled", "false").getOrCreate()
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_same_rows_as_sql(spark, name):
     db = duckdb.connect()
     for t in ("events", "orders", "customer", "lineitem", "nation", "region", "supplier", "part"):
