@@ -27,9 +27,11 @@ from logtide.llm.components import connected_components
 from logtide.llm.storage import dropped, written
 
 #: Bits within which fingerprints of sets are candidates, by measured recall (README), and bytes of nodes in a tile, about.
-RADIUS, TILE = 20, 1 << 20
+RADIUS, TILE = 20, 4 << 20
 #: Population counts in a range; sketch bits for each shingle of the largest set of a class, at least.
 RANGE, SKETCH = 16, 4
+#: Keys, of eight bytes each, that are broadcast to the texts that they stand for; more are joined.
+FEW = 100_000
 _ROWS, _FIXED, _KEY = 32, 28, 16
 
 
@@ -164,7 +166,10 @@ def near_pairs(found: DataFrame, pairs: DataFrame, radius: int = RADIUS, least:
 
 
 def shingle_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int, seed: int) -> DataFrame:
-    """``(key, found)`` for each key in ``pairs``, from one text of each."""
+    """``(key, found)`` for each key in ``pairs``, from one text of each.
+
+    Copies of a text are one before they are moved; a few keys, by the size of their table, go to the texts instead.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,8 +177,9 @@ def shingle_sets(docs: DataFrame, rows: DataFrame, pairs: DataFrame, width: int,
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in found], pa.binary())], ["key", "found"])
 
     ends = pairs.select(F.col("a").alias("key")).union(pairs.select("b")).distinct()
-    wanted = rows.groupBy("key").agg(F.min("th").alias("th")).join(ends, "key")
-    texts = docs.select("th", "text").join(wanted, "th").groupBy("th").agg(F.first("key").alias("key"), F.first("text").alias("text"))
+    wanted = written(rows.groupBy("key").agg(F.min("th").alias("th")).join(ends, "key").select("th", "key"), "near-wanted")
+    texts = docs.select("th", "text").join(F.broadcast(wanted.select("th")), "th", "left_semi") if wanted.count() <= FEW else docs.select("th", "text")
+    texts = texts.groupBy("th").agg(F.first("text").alias("text")).join(wanted, "th")
     return texts.select("key", "text").mapInArrow(run, "key binary, found binary")
 
 
