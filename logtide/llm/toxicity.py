@@ -160,7 +160,7 @@ class Network:
         return np.concatenate([self.run(gates, ids[k : k + TOGETHER])[0] for k in range(0, len(ids), TOGETHER)])
 
 
-def fit(rows: list[tuple[str, int]], seed: int = 7, all_windows: int = 1, worst_window: int = 5, rate: float = 0.01, decay: float = 2e-5, batch: int = 128) -> Network:
+def fit(rows: list[tuple[str, int]], seed: int = 7, all_windows: int = 2, worst_window: int = 4, rate: float = 0.01, decay: float = 2e-5, batch: int = 128) -> Network:
     """Trains on whole texts ``(text, label)``.
 
     In the first passes each window takes its document's label. In the later ones a document is judged, as in scoring,
@@ -235,7 +235,12 @@ def score(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str =
                             fresh.append(w)
                     ids.append(windows(np.fromiter(map(known.__getitem__, words), np.int64, len(words))))
                 if fresh:
-                    gates = np.concatenate([gates, net.gates(fresh)])
+                    used = len(known) - len(fresh)
+                    if len(known) > len(gates):
+                        room = np.empty((max(len(known), 2 * len(gates)), 6 * HIDDEN), np.float32)
+                        room[:used] = gates[:used]
+                        gates = room
+                    gates[used : len(known)] = net.gates(fresh)
                 n = np.array(list(map(len, ids)), np.int64)
                 worst = np.maximum.reduceat(net.logits(gates, np.concatenate(ids)), np.cumsum(n) - n)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(_sigmoid(worst.astype(np.float64))), pa.array(n)], ["id", "score", "n_windows"])
