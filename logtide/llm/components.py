@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logtide.llm.storage import written
+from logtide.llm.storage import dropped, written
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -32,11 +32,14 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     edges = written(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
     )
-    shape = None
+    shape = None if edges.head(1) else ()
     for _ in range(max_rounds):
-        edges = written(_small_star(_large_star(edges)), "edges")
+        if shape == ():
+            break
+        last, edges = edges, written(_small_star(_large_star(edges)), "edges")
+        dropped(last)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
-        if now == shape or not now[0]:
+        if now == shape:
             break
         shape = now
     else:

@@ -44,13 +44,17 @@ HEADER = r"(?i)licen[cs]e|copyright|spdx"
 LEAST, SALTS = 0.6, 16
 
 
-def template_table(spark: SparkSession) -> DataFrame:
+def template_rows() -> list[tuple[str, str, str]]:
     """``(license, kind, text)``: ``header`` statements, ``spdx`` identifiers and ``file`` texts of whole licences."""
     full = [(p.stem, "file", p.read_text()) for p in sorted(_TEXTS.glob("*.txt"))]
     headers = [(k, "header", v) for k, v in [*TEMPLATES.items(), *HEADERS]]
     names = sorted({k for k, _, _ in full + headers})
     spdx = [(n, "spdx", n + e) for n in names for e in (("", "-only", "-or-later", "+") if n in _GNU else ("",))]
-    return spark.createDataFrame(full + headers + spdx, "license string, kind string, text string")
+    return full + headers + spdx
+
+
+def template_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(template_rows(), "license string, kind string, text string")
 
 
 def _terms(text: Column) -> Column:

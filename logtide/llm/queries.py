@@ -92,6 +92,31 @@ m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(coalesce(list_sum(
   length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words,
   len(ls) AS n_lines, length(regexp_replace(text, '[^\p{Lu}]', '', 'g')) AS n_upper, length(regexp_replace(text, '[^\p{L}]', '', 'g')) AS n_letters, len(list_distinct(ws)) AS n_distinct_words FROM w LEFT JOIN r USING (rid)),
 l AS (SELECT *, """ + " + ".join(f"CASE WHEN {rule} THEN {1 << k} ELSE 0 END" for k, rule in enumerate(rules.RULES.values())) + " AS failed FROM m)"
+_TEMPLATES = ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in licenses.template_rows())
+_LICENSES = f"""WITH tpl(license, kind, text) AS (VALUES {_TEMPLATES}),
+tt AS (SELECT *, row_number() OVER () AS tid, CASE WHEN kind = 'spdx' THEN [lower(text)] ELSE regexp_extract_all(lower(text), '[a-z0-9]+') END AS terms FROM tpl),
+sizes AS (SELECT DISTINCT len(terms) AS n FROM tt WHERE kind = 'header'), firsts AS (SELECT list(DISTINCT terms[1]) AS f FROM tt WHERE kind = 'header'),
+d AS (SELECT row_number() OVER () AS rid, doc_id, text, coalesce(source, '_') || '/' || coalesce(lang, '_') AS dir, coalesce(doc_id % 100 = 0, false) AS is_file, regexp_matches(text, '{licenses.HEADER}') AS said FROM documents),
+t AS (SELECT rid, regexp_extract_all(lower(text), '[a-z0-9]+') AS t FROM d WHERE said),
+tag AS (SELECT rid, unnest(regexp_extract_all(text, '(?i)spdx-license-identifier:[ \t]*([^\r\n]*)', 1)) AS tag FROM d WHERE said),
+p AS (SELECT rid, t, unnest(range(0, len(t))) AS p FROM t),
+q AS (SELECT rid, t, p, n, unnest(range(greatest(0, p - n + 1), p + 1)) AS s FROM p, sizes WHERE regexp_matches(t[p + 1], '^(licen[cs]e|copyright)')),
+found AS (SELECT DISTINCT * FROM (
+ SELECT rid, 'spdx' AS kind, [id] AS terms FROM (SELECT rid, unnest(regexp_extract_all(lower(tag), '[a-z0-9.+-]+')) AS id FROM tag)
+ UNION ALL SELECT rid, 'file', regexp_extract_all(lower(text), '[a-z0-9]+') FROM d WHERE is_file
+ UNION ALL SELECT rid, 'header', t[s + 1 : s + n] FROM q, firsts WHERE (p - s) % greatest(1, n // 2) = 0 OR list_contains(f, t[s + 1])) WHERE len(terms) > 0),
+lines AS (SELECT *, row_number() OVER () AS pid FROM (SELECT DISTINCT kind, terms FROM found)),
+df AS (SELECT kind, term, count(*) AS df FROM (SELECT DISTINCT kind, tid, unnest(terms) AS term FROM tt) GROUP BY ALL), n AS (SELECT kind, count(*) AS n FROM tt GROUP BY kind),
+pw AS (SELECT pid, kind, term, count(*) * (1 + ln((1 + n) / (1 + coalesce(df, 0)))) AS w FROM (SELECT pid, kind, unnest(terms) AS term FROM lines) LEFT JOIN df USING (kind, term) JOIN n USING (kind) GROUP BY pid, kind, term, df, n),
+tw AS (SELECT tid, license, kind, term, count(*) * (1 + ln((1 + n) / (1 + df))) AS v FROM (SELECT tid, license, kind, unnest(terms) AS term FROM tt) JOIN df USING (kind, term) JOIN n USING (kind) GROUP BY tid, license, kind, term, df, n),
+ps AS (SELECT pid, sqrt(sum(w * w)) AS size FROM pw GROUP BY pid), ts AS (SELECT tid, sqrt(sum(v * v)) AS size FROM tw GROUP BY tid),
+dots AS (SELECT pid, tid, license, sum(w * v) AS dot FROM pw JOIN tw USING (kind, term) GROUP BY ALL),
+best AS (SELECT pid, license, round(dot / (ps.size * ts.size), 6) AS cosine FROM dots JOIN ps USING (pid) JOIN ts USING (tid)
+ QUALIFY cosine >= {licenses.LEAST} AND row_number() OVER (PARTITION BY pid ORDER BY cosine DESC, license) = 1),
+own AS (SELECT rid, license, cosine, kind <> 'file' AS part FROM found JOIN lines USING (kind, terms) JOIN best USING (pid) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY kind <> 'file', cosine DESC, license) = 1),
+up AS (SELECT dir, own.license, own.cosine FROM d JOIN own USING (rid) WHERE is_file QUALIFY row_number() OVER (PARTITION BY dir ORDER BY part, cosine DESC, own.license) = 1)
+SELECT doc_id, dir || CASE WHEN is_file THEN '' ELSE '/' || coalesce(CAST(CAST(floor(doc_id / 1000) AS BIGINT) AS VARCHAR), '_') END || '/' || coalesce(CAST(doc_id AS VARCHAR), '_') AS path, coalesce(own.license, up.license) AS license, coalesce(own.cosine, up.cosine) AS cosine,
+ CASE WHEN own.license IS NOT NULL THEN 'declared' WHEN up.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin FROM d LEFT JOIN own USING (rid) LEFT JOIN up USING (dir)"""
 _V1 = rules.mask(rules.POLICIES["v1"])
 _WORDS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE_SQL: dict[str, str] = {
@@ -106,5 +131,6 @@ own AS (SELECT rid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256,
  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated FROM d LEFT JOIN hit USING (rid) LEFT JOIN own USING (rid)""",
     "op8_quality_rules": f"""{_MEASURED} SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed & {rules.mask(rules.POLICIES["base"])} <> 0 AS base_failed, failed & {_V1} = 0 AS kept, CAST(failed AS BIGINT) AS failed_bits FROM l""",
+    "op9_licenses": _LICENSES,
     "rule_ablations": f"{_MEASURED} " + " UNION ALL ".join(f"SELECT '{n}' AS rule, CAST(count(*) FILTER (failed & {rules.mask((n,))} <> 0) AS BIGINT) AS n_failed, CAST(count(*) FILTER (failed & {_V1} = {rules.mask((n,))}) AS BIGINT) AS n_only FROM l" for n in rules.POLICIES["v1"]),
 }
