@@ -98,7 +98,8 @@ def longest_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[
         levels.append((2 * depth, np.r_[pair(r, depth, at), room]))
     depth, r = levels[-1]
     final = pair(r, length - depth, starts) if depth < length else r[starts]
-    order = starts[np.lexsort((starts, final))]
+    by = np.lexsort((starts, final))
+    order, kind = starts[by], np.r_[final[by], -1]
     place = np.empty(n, np.int64)
     place[order] = at[: len(order)]
 
@@ -112,21 +113,25 @@ def longest_factors(data: np.ndarray, starts: np.ndarray, length: int) -> tuple[
             to[more] = np.r_[to, m][to[more]]
         return to
 
-    def match(to: np.ndarray) -> np.ndarray:
-        """Bytes that each start in ``order`` has in common with the entry ``to``."""
-        some = np.flatnonzero(to < len(order))
-        a, b = order[some], order[to[some]]
-        same = np.zeros(len(some), np.int64)
+    def match(of: np.ndarray, to: np.ndarray) -> np.ndarray:
+        """Bytes that the entries ``of`` and ``to`` have in common; none with no entry."""
+        there = to < len(order)
+        a, b = order[of], order[np.where(there, to, of)]
+        same = np.zeros(len(of), np.int64)
         for depth, r in reversed(levels):
             same += depth * (r[a + same] == r[b + same])
-        out = np.zeros(len(order), np.int64)
-        out[some] = np.minimum(same, length)
+        return np.where(there, np.minimum(same, length), 0)
+
+    def longest(keys: np.ndarray) -> np.ndarray:
+        """The longer match of the two nearest entries with smaller keys."""
+        left, right = nearest(keys, -1), nearest(keys, 1)
+        out = np.where((kind[left] == kind[:-1]) | (kind[right] == kind[:-1]), length, 0)
+        rest = np.flatnonzero(out == 0)  # those of equal rank match in full
+        out[rest] = np.maximum(match(rest, left[rest]), match(rest, right[rest]))
         return out
 
-    earlier = np.maximum(*(match(nearest(order, step)) for step in (-1, 1)))
-    later = np.maximum(*(match(nearest(-order, step)) for step in (-1, 1)))
     back = place[starts]
-    return earlier[back], later[back]
+    return longest(order)[back], longest(-order)[back]
 
 
 def _anchors(docs: DataFrame, length: int) -> DataFrame:
