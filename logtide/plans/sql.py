@@ -109,6 +109,7 @@ def _union_by_name(spark, d):
 
 QUERIES = {k: _run(v[0], v[1]) for k, v in STATEMENTS.items()} | {
     "attribute_census": _census, "attribute_promotion": _promoted, "meta_unpack": _unpacked, "schema_align": _aligned, "union_by_name": _union_by_name, "union_by_name_widen": _widened, "agg_approximate": _approximate,
+    "sample": _run("events", "SELECT * FROM events TABLESAMPLE (10 PERCENT) REPEATABLE (7)"),
 }
 _KEYS = """SELECT 'k' AS key, json_extract_string(props, '$.k') AS value FROM events UNION ALL SELECT 'ratio', CAST(event_id / 4 AS VARCHAR) FROM events
  UNION ALL SELECT 'even', CAST(event_id % 2 = 0 AS VARCHAR) FROM events UNION ALL SELECT 'event_id', 'own' FROM events UNION ALL SELECT 'big', CAST(event_id * 3000000000 AS VARCHAR) FROM events WHERE event_id % 2 = 0

@@ -7,8 +7,10 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from logtide.operators import tables
+from logtide.operators.logs import sql
 from logtide.plans.catalog import VIEW, view
 from logtide.sources import ingest
+from logtide.sources.external import external
 
 _MIDDLE = "2024-01-15"
 
@@ -75,12 +77,24 @@ def _as_telemetry(spark, d):
     return out.select("_s", "_t", "_l", F.col("_m").cast("bigint").alias("event_id"), out.attributes["user"].cast("bigint").alias("user_id"), out.attributes["tags"].alias("tags"), out.attributes["scope.name"].alias("scope"))
 
 
+def _external(spark, d):
+    """Customers with the nations of a CSV file and the regions of a JSON file."""
+    folder = scratch(spark)
+    for name, kind in (("nation", "csv"), ("region", "json")):
+        spark.read.parquet(f"{d}/{name}.parquet").write.option("header", "true").format(kind).save(f"{folder}/{name}.{kind}")
+    nation = external(spark, f"{folder}/nation.csv", "n_nationkey bigint, n_name string, n_regionkey bigint")
+    frames = {"customers": spark.read.parquet(f"{d}/customer.parquet"), "nations": nation, "regions": external(spark, f"{folder}/region.json")}
+    return sql(spark, "SELECT r_name, n_name, count(*) AS n FROM customers JOIN nations ON c_nationkey = n_nationkey JOIN regions ON n_regionkey = r_regionkey GROUP BY ALL", streams=frames)
+
+
 QUERIES = {
+    "external_files_join": _external,
     "scan_hot_cold_union": lambda s, d: _stored(s, d, ["daily"], []), "scan_hot": lambda s, d: _stored(s, d, [], []), "scan_after_daily": lambda s, d: _stored(s, d, ["daily"], ["daily"]),
     "scan_after_monthly": lambda s, d: _stored(s, d, ["daily", "monthly"], ["monthly"]), "scan_days": _days, "ingest_json_batches": _as_batches, "ingest_telemetry": _as_telemetry,
 }
 _LEVEL = "CASE event_type WHEN 'error' THEN 'error' ELSE event_type END"
-ORACLE_SQL = dict.fromkeys(("scan_hot_cold_union", "scan_hot", "scan_after_daily", "scan_after_monthly"), _ALL) | {
+_EXTERNAL = "SELECT r_name, n_name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL"
+ORACLE_SQL = {"external_files_join": _EXTERNAL} | dict.fromkeys(("scan_hot_cold_union", "scan_hot", "scan_after_daily", "scan_after_monthly"), _ALL) | {
     "scan_days": "SELECT event_id, CAST(CAST(ts AS DATE) AS VARCHAR) AS day FROM events WHERE CAST(ts AS DATE) BETWEEN DATE '2024-01-18' AND DATE '2024-01-21'",
     "ingest_json_batches": f"SELECT CASE WHEN event_id % 3 = 0 THEN 'own' ELSE 'batch' END AS _s, ts AS _t, {_LEVEL} AS _l, event_id FROM events WHERE event_id % 7 > 0",
     "ingest_telemetry": "SELECT event_type AS _s, date_trunc('millisecond', ts) AS _t, CASE WHEN event_id % 25 <= 5 THEN 'debug' WHEN event_id % 25 <= 9 THEN 'info' WHEN event_id % 25 <= 13 THEN 'warn' WHEN event_id % 25 <= 17 THEN 'error' ELSE 'fatal' END AS _l, event_id, nullif(user_id, 0) AS user_id, CASE WHEN event_id % 2 = 0 THEN '{\"values\":[{\"stringValue\":\"x\"}]}' END AS tags, 's' AS scope FROM events",
