@@ -19,6 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logtide.llm.skew import met_by
 from logtide.llm.storage import dropped, written
 
 GRAM = 32
@@ -29,8 +30,6 @@ BATCH = 1 << 21
 ROWS = 20_000
 #: Different slices of one hash that meet in a suffix order; with at most ``length - GRAM`` bytes around it, each adds little.
 PIECES = 4096
-#: Keys that many rows share are joined by broadcast: those with over ``HOT`` rows and over a ``HOT_KEYS``-th of all, so no more than ``HOT_KEYS``.
-HOT, HOT_KEYS = 1000, 20_000
 _ODD, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64((1 << 31) - 1)
 
 
@@ -158,16 +157,6 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
 _LO, _N, _O = "int(shiftright(w, 32))", "int(shiftright(w, 16) & 65535)", "int(w & 65535)"
 
 
-def met_by(rows: DataFrame, facts: DataFrame, on: list[str], many: str, total: int) -> DataFrame:
-    """Inner join of ``rows`` with ``facts``, a row for each key; ``many`` is the number of rows of the key among ``total``.
-
-    Keys that very many rows share go by broadcast: their numbers add up to ``total`` at most, so they are few.
-    """
-    most = max(HOT, total // HOT_KEYS)
-    hot, cold = F.broadcast(facts.where(F.col(many) > most)), facts.where(F.col(many) <= most)
-    return rows.join(hot, on).unionByName(rows.join(hot.select(on), on, "left_anti").join(cold, on))
-
-
 def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, keep_first: bool = True, most: int = PIECES) -> DataFrame:
     """``(id, th, spans)``: byte ranges to remove from each text that has any; th is the text's XXH64.
 

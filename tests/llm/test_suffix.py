@@ -3,13 +3,13 @@ from collections import Counter
 
 import pytest
 
-from logtide.llm import suffix
+from logtide.llm import skew, suffix
 
 
 @pytest.mark.parametrize("keep_first, most", [(False, 4096), (True, 4096), (False, 1), (True, 1)])
 def test_matches_all_strings(spark, keep_first, most, monkeypatch):
     if most == 1:
-        monkeypatch.setattr(suffix, "HOT", 3)
+        monkeypatch.setattr(skew, "HOT", 3)
     random.seed(5)
     word = lambda n: " ".join("".join(random.choices("abcé", k=5)) for _ in range(n))
     shared = word(80)
