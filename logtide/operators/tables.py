@@ -8,6 +8,7 @@ clean-up after it, and a compaction that fails leaves folders that no reader see
 
 from __future__ import annotations
 
+import re
 from datetime import date, datetime
 from urllib.parse import unquote
 
@@ -66,15 +67,20 @@ def _same_schema(spark: SparkSession, base: str, files: list[str]) -> list[list[
         return _same_schema(spark, base, files[:middle]) + _same_schema(spark, base, files[middle:])
 
 
+def _files(spark: SparkSession, path: str) -> list[str]:
+    """Paths of the files under ``path``, as Spark lists them; one footer is read."""
+    try:
+        return sorted(map(unquote, spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "false").parquet(path).inputFiles()))
+    except AnalysisException:
+        return []
+
+
 def read_folder(spark: SparkSession, path: str, partitions: str = "") -> DataFrame | None:
     """All files under ``path`` with the columns of all of them, widened; None if there is none.
 
     ``partitions`` gives the partition columns' types, as in ``stream string, day date``; names are never guessed at.
     """
-    try:
-        files = sorted(map(unquote, spark.read.option("recursiveFileLookup", "true").option("mergeSchema", "false").parquet(path).inputFiles()))
-    except AnalysisException:
-        return None
+    files = _files(spark, path)
     if not files:
         return None
     named = T._parse_datatype_string(partitions).fields if partitions else []
@@ -108,9 +114,9 @@ def _tier(spark: SparkSession, root: str, tier: str) -> DataFrame | None:
 
 
 def last_batch(spark: SparkSession, root: str) -> int:
-    """The greatest batch number of any tier; 0 for an empty root."""
-    found = [(_hot(spark, root), "batch"), (_tier(spark, root, "daily"), "through"), (_tier(spark, root, "monthly"), "through")]
-    return max([df.agg(F.max(c)).first()[0] or 0 for df, c in found if df is not None], default=0)
+    """The greatest batch number of any tier, by the names of folders; 0 for an empty root."""
+    found = (re.findall(r"/(?:batch|through)=(\d+)/", f)[-1:] for tier in ("hot", "daily", "monthly") for f in _files(spark, f"{root}/{tier}"))
+    return max((int(m[0]) for m in found if m), default=0)
 
 
 def _visible(spark: SparkSession, root: str) -> dict[str, DataFrame]:
