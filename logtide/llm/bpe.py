@@ -31,7 +31,7 @@ SPREAD = 1 << 16
 #: Runs, and parts of runs, whose ids a worker remembers, and the longest that is remembered: together they bound its memory.
 REMEMBERED, LONGEST = 600_000, 48
 #: Characters of texts that are worked on together, about.
-TOGETHER = 1 << 23
+TOGETHER = 1 << 22
 #: Runs that a piece dealt to another row keeps apart at each end, for the windows; two are enough for agreement.
 EDGE = 4
 _known: dict[str, Runs] = {}
@@ -247,8 +247,10 @@ def _nodes(path: str, texts: list[str], leaf: int, all_nodes: bool = False) -> I
     size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
     each = size[codes]
     ends = np.cumsum(each)
-    first = (np.cumsum(size) - size)[codes] - (ends - each)
-    flat = np.frombuffer(b"".join(ids), "<u4")[np.repeat(first, each) + np.arange(ends[-1] if len(ends) else 0)]
+    first = ((np.cumsum(size) - size)[codes] - (ends - each)).astype(np.int32)
+    place = np.repeat(first, each)
+    place += np.arange(len(place), dtype=np.int32)
+    flat = np.frombuffer(b"".join(ids), "<u4")[place]
     ends = np.r_[0, ends]
     at = 0
     for x in parts:
