@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logtide.llm import skew
 from logtide.llm.skew import met_by
 from logtide.llm.storage import dropped, written
 
@@ -38,9 +39,13 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     for _ in range(max_rounds if total else 1):
         if not total:
             break
-        stars = written(_large_star(edges, total), "stars")
+        stars = _large_star(edges, total)
+        if total > skew.SMALL:
+            stars = written(stars, "stars")
         last, edges = edges, written(_small_star(stars, total), "edges")
-        dropped(last), dropped(stars)
+        dropped(last)
+        if total > skew.SMALL:
+            dropped(stars)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == shape:
             break

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Keys that many rows share are joined by broadcast: those with over ``HOT`` rows and over a ``HOT_KEYS``-th of all, so no more than ``HOT_KEYS``.
 HOT, HOT_KEYS = 1000, 20_000
+#: Rows in all up to which a join is an ordinary one, as no key can be large.
+SMALL = 100_000
 
 
 def met_by(rows: DataFrame, facts: DataFrame, on: list[str], many: str, total: int) -> DataFrame:
@@ -14,7 +16,7 @@ def met_by(rows: DataFrame, facts: DataFrame, on: list[str], many: str, total: i
 
     Keys that very many rows share go by broadcast: their numbers add up to ``total`` at most, so they are few.
     """
-    if total <= HOT:
+    if total <= SMALL:
         return rows.join(facts, on)
     most = max(HOT, total // HOT_KEYS)
     hot, cold = F.broadcast(facts.where(F.col(many) > most)), facts.where(F.col(many) <= most)

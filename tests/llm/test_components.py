@@ -6,6 +6,7 @@ from logtide.llm.components import connected_components
 
 def test_hubs_chains_and_loops(spark, monkeypatch):
     monkeypatch.setattr(skew, "HOT", 3)
+    monkeypatch.setattr(skew, "SMALL", 0)
     rng = random.Random(4)
     edges = [(500, k) for k in range(501, 560)] + [(k, k + 1) for k in range(600, 620)] + [(7, 7), (3, 500), (3, 500)] + [tuple(rng.sample(range(700, 800), 2)) for _ in range(60)]
     label = {x: x for e in edges for x in e}

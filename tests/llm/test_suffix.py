@@ -10,6 +10,7 @@ from logtide.llm import skew, suffix
 def test_matches_all_strings(spark, keep_first, most, monkeypatch):
     if most == 1:
         monkeypatch.setattr(skew, "HOT", 3)
+        monkeypatch.setattr(skew, "SMALL", 0)
     random.seed(5)
     word = lambda n: " ".join("".join(random.choices("abcé", k=5)) for _ in range(n))
     shared = word(80)
