@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from logtide.llm import bpe, contamination, near, rules, suffix
 from logtide.llm.storage import written
+from logtide.llm.workers import tidy
 
 _COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
@@ -83,7 +84,7 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
                 out.append(None if data is None else data.decode())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string())], ["row", "text"])
 
-    done = both.mapInArrow(cut, f"row {dict(both.dtypes)['row']}, text string")
+    done = both.mapInArrow(tidy(cut), f"row {dict(both.dtypes)['row']}, text string")
     text = F.col("text")
     changed = {"text": text, "n_chars": F.char_length(text).cast(dict(docs.dtypes)["n_chars"])}
     return done.select([changed.get(c, F.col(f"row.{c}")).alias(c) for c in _COLUMNS])

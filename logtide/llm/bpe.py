@@ -24,6 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, pre_tokenizers
 
+from logtide.llm.workers import leaves, tidy
+
 #: Characters that are encoded in one piece; longer texts and runs are halved.
 LEAF = 4096
 #: Characters of a text that are one row's work; longer texts become rows of so many characters.
@@ -57,6 +59,13 @@ def _tokens(path: str) -> dict[int, str]:
     return {i: s for s, i in tokenizer(path).get_vocab(with_added_tokens=True).items()}
 
 
+def _forget() -> None:
+    _known.clear(), tokenizer.cache_clear(), _tokens.cache_clear()
+
+
+leaves("bpe", lambda: bool(_known), _forget)
+
+
 def decode(path: str, ids: np.ndarray) -> str:
     """Text of some ids, special ones included; ids that the vocabulary lacks are left out."""
     t = tokenizer(path)
@@ -310,7 +319,7 @@ def _pieces(rows: DataFrame, path: str, leaf: int) -> DataFrame:
                 opens, closes, items = zip(*out)
                 yield pa.RecordBatch.from_arrays([*part.columns[:4], pa.array(opens), pa.array(closes), pa.array(items, kind)], [*part.schema.names[:4], "opens", "closes", "items"])
 
-    return rows.select("id", "th", "k", "n", "piece").mapInArrow(run, f"id {dict(rows.dtypes)['id']}, th long, k int, n long, {_PIECE}")
+    return rows.select("id", "th", "k", "n", "piece").mapInArrow(tidy(run, "bpe"), f"id {dict(rows.dtypes)['id']}, th long, k int, n long, {_PIECE}")
 
 
 def token_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, spread: int = SPREAD) -> DataFrame:
@@ -342,11 +351,11 @@ def token_rows(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(k, 1), pa.array([ids], pa.binary()), pa.array([said])], ["id", "ids", "decoded"])
 
     size = F.char_length("text")
-    short = chosen.where(size <= spread).mapInArrow(run, f"id {kind}, ids binary, decoded string")
+    short = chosen.where(size <= spread).mapInArrow(tidy(run, "bpe"), f"id {kind}, ids binary, decoded string")
     dealt = chosen.where(size > spread).select("id", F.xxhash64("text").alias("th"), F.posexplode(F.regexp_extract_all("text", F.lit(f"(?s).{{1,{spread}}}"), F.lit(0))).alias("k", "piece"))
     dealt = dealt.groupBy("id", "th", "k").agg(F.count("*").alias("n"), F.first("piece").alias("piece"))
     found = _pieces(dealt, path, leaf).groupBy("id", "th").agg(F.collect_list(F.struct("k", "n", "opens", "closes", "items")).alias("pieces"))
-    long = found.select("id", "pieces").mapInArrow(tops, f"id {kind}, ids binary, decoded string")
+    long = found.select("id", "pieces").mapInArrow(tidy(tops, "bpe"), f"id {kind}, ids binary, decoded string")
     return short.union(long).withColumnRenamed("id", id_col)
 
 

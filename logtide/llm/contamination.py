@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logtide.llm.storage import written
+from logtide.llm.workers import tidy
 
 #: Bytes of benchmark text in one set of search tables, which take six times as much or less. More text means more passes, not larger tables.
 SHARD_BYTES = 8 << 20
@@ -113,7 +114,7 @@ def contamination(
                 parts = [words[k : k + PART + width - 1] for k in range(0, max(1, len(words) - width + 1), PART)]
                 yield pa.RecordBatch.from_arrays([pa.array([item] * len(parts)), pa.array(list(range(len(parts))), pa.int32()), pa.array([b" ".join(p) for p in parts], pa.binary())], ["item", "part", "text"])
 
-    parts = written(items.mapInArrow(cut, "item string, part int, text binary"), "benchmark-parts")
+    parts = written(items.mapInArrow(tidy(cut), "item string, part int, text binary"), "benchmark-parts")
     shards = max(1, -(-parts.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // shard_bytes))
     deal = lambda n: F.pmod(F.xxhash64("item", "part"), F.lit(n))
     while shards > 1 and parts.groupBy(deal(shards)).agg(F.sum(F.octet_length("text")).alias("n")).agg(F.max("n")).first()[0] > 2 * shard_bytes:
@@ -142,7 +143,7 @@ def contamination(
                 n, h, i = zip(*rows) if rows else ((), (), ())
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(h, pa.binary()), pa.array(i, pa.list_(pa.string()))], ["id", "text", "n_words", "hits", "items"])
 
-        out = out.mapInArrow(run, schema)
+        out = out.mapInArrow(tidy(run), schema)
     return out.select(F.col("id").alias(id_col), "n_words", "hits", "items")
 
 

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from logtide.llm import bpe
 from logtide.llm.storage import written
+from logtide.llm.workers import tidy
 
 BLOCK, PERCENTILE = 1024, 95
 _HEAD = struct.Struct("<IHBH")  # least id, ids, width, exceptions
@@ -130,9 +131,9 @@ def write_tokens(docs: DataFrame, path: str, end_id: int = 2, id_col: str = "doc
                     total, last = total + int(n[part].sum()), shard[part[0]]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(before)], [*batch.schema.names, "before"])
 
-    records = chosen.mapInArrow(encode, f"id {kind}, n_tokens long, record binary, shard int, order binary")
+    records = chosen.mapInArrow(tidy(encode, "bpe"), f"id {kind}, n_tokens long, record binary, shard int, order binary")
     ordered = records.repartitionById(shards, "shard").sortWithinPartitions("shard", "id", "order").drop("order")
-    return written(ordered.mapInArrow(count, f"id {kind}, n_tokens long, record binary, shard int, before long"), "tokens")
+    return written(ordered.mapInArrow(tidy(count, "bpe"), f"id {kind}, n_tokens long, record binary, shard int, before long"), "tokens")
 
 
 def read_tokens(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -146,5 +147,5 @@ def read_tokens(files: DataFrame, id_col: str = "doc_id") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(list(map(len, ids)), pa.int64()), pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64())], ["id", "shard", "before", "n_tokens", "ids_crc32"])
 
     kind = dict(files.dtypes)["id"]
-    rows = files.select("id", "shard", "before", "record").mapInArrow(crc, f"id {kind}, shard int, before long, n_tokens long, ids_crc32 long")
+    rows = files.select("id", "shard", "before", "record").mapInArrow(tidy(crc), f"id {kind}, shard int, before long, n_tokens long, ids_crc32 long")
     return rows.join(F.broadcast(earlier), "shard").select(F.col("id").alias(id_col), (F.col("base") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logtide.llm.workers import tidy
+
 _SYMBOLS = b"#*$%&|<>"
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "n_letters", "n_distinct_words"]
 
@@ -72,7 +74,7 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c.copy()) for c in got.T)], ["id", *MEASURES])
 
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = chosen.mapInArrow(run, f"id {dict(chosen.dtypes)['id']}, " + ", ".join(f"{m} long" for m in MEASURES))
+    rows = chosen.mapInArrow(tidy(run), f"id {dict(chosen.dtypes)['id']}, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = [F.when(F.expr(rule), F.lit(1 << k)).otherwise(F.lit(0)).cast("long") for k, rule in enumerate(RULES.values())]
     failed = bits[0]
     for bit in bits[1:]:

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from logtide.llm.skew import met_by
 from logtide.llm.storage import dropped, written
+from logtide.llm.workers import tidy
 
 GRAM = 32
 LENGTH = 200
@@ -150,7 +151,7 @@ def _anchors(docs: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([*same.columns, *(pa.array(np.concatenate(c)) for c in zip(*cols))], ["id", "th", "m", "s", "w"])
                     row, cols, held = [], [], 0
 
-    return docs.mapInArrow(run, f"id {dict(docs.dtypes)['id']}, th long, m long, s long, w long")
+    return docs.mapInArrow(tidy(run), f"id {dict(docs.dtypes)['id']}, th long, m long, s long, w long")
 
 
 #: Parts of ``w``: first start, number of starts and the gram's offset of a slice.
@@ -226,15 +227,15 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             out = [pa.array([0] * len(at), pa.int32()), pa.array([int(x.max()) + 1 for x in at], pa.int32()), pa.array(bits, pa.binary())]
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *out], ["m", "s", "first", "n", "bits"])
 
-    cores = written(parts.mapInArrow(cut, f"m long, s long, id {kind}, th long, lo int, core binary, first int, n int, part binary"), "pieces")
+    cores = written(parts.mapInArrow(tidy(cut), f"m long, s long, id {kind}, th long, lo int, core binary, first int, n int, part binary"), "pieces")
     whole = cores.where("part IS NOT NULL")
     ordered = whole.repartition("core").sortWithinPartitions("core", F.col("id").asc_nulls_first(), "th", F.col("lo") + F.col("first"))
-    bits = ordered.select("core", "m", "s", "first", "n", "part").mapInArrow(order, "m long, s long, first int, n int, bits binary")
+    bits = ordered.select("core", "m", "s", "first", "n", "part").mapInArrow(tidy(order), "m long, s long, first int, n int, bits binary")
     fine = cores.where("part IS NULL").select("core", "m", "s", "first", F.struct("id", "th", (F.col("lo") + F.col("first")).alias("at")).alias("place")).distinct()
     equal = written(fine.groupBy("core").agg(F.count("*").alias("k"), F.min("place").alias("least")).where("k > 1"), "equal")
     hit = met_by(fine, equal, ["core"], "k", equal.agg(F.coalesce(F.sum("k"), F.lit(0))).first()[0])
     hit = hit.where("place > least") if keep_first else hit
-    fine_bits = hit.groupBy("m", "s").agg(F.collect_list("first").alias("at")).mapInArrow(told, "m long, s long, first int, n int, bits binary")
+    fine_bits = hit.groupBy("m", "s").agg(F.collect_list("first").alias("at")).mapInArrow(tidy(told), "m long, s long, first int, n int, bits binary")
     bits = bits.unionByName(fine_bits).groupBy("m", "s").agg(F.collect_list(F.struct("first", "n", "bits")).alias("bits"))
     facts = written(slices_.join(bits, ["m", "s"], "left").where("c > 1 OR bits IS NOT NULL"), "facts")
     dropped(cores), dropped(equal), dropped(slices_), dropped(kinds)
@@ -281,4 +282,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
             cols = list(zip(*out)) if out else [()] * 4
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["id", "th", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return both.mapInArrow(run, f"id {dict(both.dtypes)['id']}, th long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
+    return both.mapInArrow(tidy(run), f"id {dict(both.dtypes)['id']}, th long, n_bytes long, n_removed long, n_spans long, kept binary").withColumnRenamed("id", id_col)
