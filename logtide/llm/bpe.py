@@ -31,7 +31,7 @@ LEAF = 4096
 #: Characters of a text that are one row's work; longer texts become rows of so many characters.
 SPREAD = 1 << 16
 #: Runs, and parts of runs, whose ids a worker remembers, and the longest that is remembered: together they bound its memory.
-REMEMBERED, LONGEST = 600_000, 48
+REMEMBERED, LONGEST = 200_000, 48
 #: Characters of texts that are worked on together, about.
 TOGETHER = 1 << 22
 #: Runs that a piece dealt to another row keeps apart at each end, for the windows; two are enough for agreement.
@@ -42,6 +42,13 @@ _RUN = re.compile("[^\t\n\x0b\x0c\r \x85\xa0  -     　]+")
 #: A short run of signs that lower-casing and composition treat one by one.
 _WEST = re.compile(rf"[!-~\xa1-\u012f]{{1,{LONGEST}}}").fullmatch
 _STOPS = frozenset(".,;:!?)%")
+#: Western letters that Arrow lower-cases as Python does, each to one letter; runs of these, with a sign behind or not, are worked on as columns.
+_LETTERS = "".join(c for c in map(chr, range(0x21, 0x130)) if c.isalpha() and _WEST(c) and len(c.lower()) == 1 and pc.utf8_lower(pa.scalar(c)).as_py() == c.lower())
+_WORD = f"^[{_LETTERS}]+[{''.join(sorted(_STOPS))}]?$"
+#: Words of letters whose ids a worker remembers as columns, about 25 bytes each.
+SEEN = 600_000
+#: Words in one text for the library, and such texts in one call.
+_WORDS, _CALL = 500, 64
 _SPACE = re.compile(_RUN.pattern.replace("[^", "["))
 
 
@@ -159,6 +166,8 @@ class Runs(dict):
         self.tokenizer = tokenizer(path)
         self.parts: dict[str, bytes] = {}
         self.cut = self.bare = None
+        self.stops = sorted(_STOPS)
+        self.seen, self.seen_ids, self.seen_size = pa.array([], pa.string()), np.empty(0, "<u4"), np.empty(0, np.int64)
         spec = json.loads(self.tokenizer.to_str())
         steps = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])
         kinds = [x["type"] for x in (spec["normalizer"] or {}).get("normalizers", [])]
@@ -217,6 +226,54 @@ class Runs(dict):
         out.update((r, b"".join(map(found, x))) for r, x in cut.items())
         return out
 
+    def _words(self, words: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different lower-case words of letters, one after the other, and how many each has."""
+        bounds = np.append(np.arange(0, len(words), _WORDS), len(words)).astype(np.int32)
+        texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(bounds), words), " ").to_pylist()
+        ids, sizes = [np.empty(0, "<u4")], [np.empty(0, np.int64)]
+        for k in range(0, len(texts), _CALL):
+            for i, made in enumerate(self.bare.encode_batch_fast(texts[k : k + _CALL], add_special_tokens=False), k):
+                got = np.array(made.ids, "<u4")
+                ends = np.flatnonzero(self.last[got]) + 1
+                if len(ends) != bounds[i + 1] - bounds[i] or ends[-1] != len(got):
+                    each = list(self._plain(words[bounds[i] : bounds[i + 1]].to_pylist()).values())
+                    got, ends = np.frombuffer(b"".join(each), "<u4"), np.cumsum(list(map(len, each))) // 4
+                ids.append(got), sizes.append(np.diff(ends, prepend=0))
+        return np.concatenate(ids), np.concatenate(sizes)
+
+    def _places(self, words: pa.StringArray) -> np.ndarray:
+        """Places of different words among the remembered ones, which the new ones join; too many are forgotten first."""
+        at = pc.index_in(words, self.seen).fill_null(-1).to_numpy().copy()
+        if len(self.seen) + np.count_nonzero(at < 0) > SEEN:
+            self.seen, self.seen_ids, self.seen_size = self.seen[:0], self.seen_ids[:0], self.seen_size[:0]
+            at[:] = -1
+        fresh = at < 0
+        if fresh.any():
+            new = words.filter(pa.array(fresh))
+            ids, size = self._words(new)
+            at[fresh] = len(self.seen) + np.arange(len(new))
+            self.seen = pa.concat_arrays([self.seen, new])
+            self.seen_ids, self.seen_size = np.concatenate([self.seen_ids, ids]), np.concatenate([self.seen_size, size])
+        return at
+
+    def table(self, runs: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of different runs, one after the other, and how many each has; an empty run has none."""
+        easy = np.zeros(len(runs), bool)
+        if self.cut:
+            easy = pc.and_(pc.match_substring_regex(runs, _WORD), pc.less_equal(pc.utf8_length(runs), LONGEST)).to_numpy(zero_copy_only=False)
+        low = pc.utf8_lower(runs.filter(pa.array(easy)))
+        stop = pc.index_in(pc.utf8_slice_codeunits(low, -1), pa.array(self.stops)).fill_null(-1).to_numpy()
+        words = pc.utf8_rtrim(low, "".join(self.stops)).dictionary_encode()
+        at = self._places(words.dictionary)
+        none = len(self.seen)
+        rest = [b"", *map(self.__getitem__, self.stops), *self.of(runs.filter(pa.array(~easy)).to_pylist())]
+        ids = np.concatenate([self.seen_ids, np.frombuffer(b"".join(rest), "<u4")])
+        size = np.concatenate([self.seen_size, np.fromiter(map(len, rest), np.int64, len(rest)) // 4])
+        parts = np.full((len(runs), 2), none)  # a word and the sign behind it
+        parts[easy, 0], parts[easy, 1] = at[words.indices.to_numpy()], none + 1 + stop
+        parts[~easy, 0] = np.arange(none + 1 + len(self.stops), len(size))
+        return _laid(ids, size, parts.reshape(-1)), size[parts].sum(axis=1)
+
     def of(self, runs: list[str]) -> list[bytes]:
         """Ids of different runs; the short ones are remembered."""
         got = list(map(self.get, runs))
@@ -230,6 +287,15 @@ class Runs(dict):
         return got
 
 
+def _laid(ids: np.ndarray, size: np.ndarray, codes: np.ndarray) -> np.ndarray:
+    """The ids of ``codes``, one after the other; ``ids`` holds those of code 0, of code 1 and so on."""
+    each = size[codes]
+    ends = np.cumsum(each)
+    place = np.repeat((np.cumsum(size) - size)[codes] - (ends - each), each)
+    place += np.arange(len(place))
+    return ids[place]
+
+
 def _cut(pieces: list[str]) -> pa.ListArray:
     """The runs of each piece; an empty one stands for white space at either end."""
     if any(c in x for x in pieces for c in "\x1c\x1d\x1e\x1f"):  # white space to Arrow, not to the tokenizer
@@ -250,34 +316,39 @@ def _nodes(path: str, texts: list[str], leaf: int, all_nodes: bool = False) -> I
     parts = [[x[k : k + leaf] for k in range(0, len(x), leaf)] or [""] for x in texts]
     cut = _cut([p for x in parts for p in x])
     coded = cut.values.dictionary_encode()
-    words = pc.binary_join(pa.ListArray.from_arrays([0, len(coded.dictionary)], coded.dictionary), "\n")[0].as_py().split("\n")
-    codes, bounds = coded.indices.to_numpy(), cut.offsets.to_numpy()
-    ids = known.of(words)
-    size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-    each = size[codes]
-    ends = np.cumsum(each)
-    first = ((np.cumsum(size) - size)[codes] - (ends - each)).astype(np.int32)
-    place = np.repeat(first, each)
-    place += np.arange(len(place), dtype=np.int32)
-    flat = np.frombuffer(b"".join(ids), "<u4")[place]
+    words, codes, bounds = coded.dictionary, coded.indices.to_numpy(), cut.offsets.to_numpy()
+    ids, size = known.table(words)
+    full, begin = pc.binary_length(words).to_numpy() > 0, np.cumsum(size) - size
+    flat = _laid(ids, size, codes)
+    ends = np.cumsum(size[codes])
     ends = np.r_[0, ends]
     at = 0
     for x in parts:
         if len(x) == 1 and not all_nodes:
             yield flat[ends[bounds[at]] : ends[bounds[at + 1]]].tobytes()
         else:
-            level = []
+            level, met = [], {}
+
+            def named(a: int, b: int) -> list[tuple[str, bytes]]:
+                out = [(words[c].as_py(), ids[begin[c] : begin[c] + size[c]].tobytes()) for c in codes[a:b].tolist() if full[c]]
+                met.update(out)
+                return out
+
+            def ids_of(run: str) -> bytes:
+                got = met.get(run)
+                if got is None:
+                    got = met[run] = known[run]
+                return got
+
             for p in range(at, at + len(x)):
                 i, j = bounds[p], bounds[p + 1]
-                opens, closes = words[codes[i]] != "", words[codes[j - 1]] != ""
-                named = lambda a, b: [(words[c], ids[c]) for c in codes[a:b] if words[c]]
                 if j - i > 2 * EDGE + 2:
                     a, b = i + EDGE + 1, j - EDGE - 1
                     items = named(i, a) + [(None, flat[ends[a] : ends[b]].tobytes())] + named(b, j)
                 else:
                     items = named(i, j)
-                level.append(Node(items, opens, closes))
-            yield up(level, known.__getitem__)
+                level.append(Node(items, full[codes[i]], full[codes[j - 1]]))
+            yield up(level, ids_of)
         at += len(x)
 
 

@@ -2,6 +2,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 
 from logtide.llm import bpe, packed
 
@@ -43,3 +44,26 @@ def test_repeated_null_and_hot_ids_in_many_shards(spark):
         assert r.start == start
         start += r.n_tokens
     assert [key(r) for r in sorted(got, key=lambda r: r.start)] == sorted(map(key, got))
+
+
+def test_words_are_encoded_once_and_the_store_of_them_is_bounded(monkeypatch):
+    runs = ["", "Word", "word", "word.", "WORD%", "Élan", "ŉx", "İx", "don't", "a-b", "x9", "<|endoftext|>", "naïve!", "q" * 60, "ﬁx", "中文", ".", "µ", "éa", "ok)", "ok))", "Straße"]
+
+    def check(known, words):
+        ids, size = known.table(pa.array(words, pa.string()))
+        ends = np.cumsum(size)
+        assert [ids[e - n : e].tolist() for e, n in zip(ends, size)] == [bpe.tokenizer(PATH).encode(w, add_special_tokens=False).ids for w in words]
+
+    known = bpe.Runs(PATH, bpe.LEAF)
+    check(known, runs)
+    sent = []
+    real = known._words
+    monkeypatch.setattr(known, "_words", lambda words: sent.extend(words.to_pylist()) or real(words))
+    check(known, runs[::-1] + ["fresh,"])
+    assert sent == ["fresh"]
+    monkeypatch.setattr(bpe, "SEEN", 10)
+    for k in range(6):
+        check(known, [f"w{c}{'abcdef'[k]}" for c in "abcdefgh"])
+        assert len(known.seen) <= 10
+    check(known, [f"v{c}{d}" for c in "abcd" for d in "efgh"])
+    check(known, ["", "12"]), check(known, [])
